@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, sharding, sql
+from . import decontamination, language_id, packing, quality_rules, sharding, sql, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        decontamination.op1_spaced_seed_decontamination,
         packing.op2_sum_of_squares_packing,
+        language_id.op4_hyperdimensional_language_id,
+        token_counts.op5_trie_token_counts,
         quality_rules.op7_line_first_cleaning,
         sharding.op9_virtual_slot_sharding,
     ]
@@ -19,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_first_cleaning": sql.OP7}
+    return {"op1_spaced_seed_decontamination": sql.OP1, "op7_line_first_cleaning": sql.OP7}

@@ -25,3 +25,26 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
        not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(remain, 0) >= 0.5 * word_chars as kept
 from x left join k on x.r = k.r
 """
+
+
+def _op1() -> str:
+    from .decontamination import LEAST, MASKS, WINDOW
+
+    span = max(m[-1] for m in MASKS) + 1
+    key = lambda m: "concat_ws(' ', " + ", ".join(f"t[p + {k + 1}]" for k in m) + ")"
+    keys = " union all ".join(f"select {{0}}, p, {i} as m, {key(m)} as k from {{1}} where p + {m[-1]} < len(t)" for i, m in enumerate(MASKS))
+    whole = "select {0}, p, -n as m, array_to_string(t[p + 1:p + n], ' ') as k from {1}, (select distinct len(t) as n from b where len(t) between 1 and " + str(span - 1) + ") where p + n <= len(t)"
+    tokens = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+    return f"""
+with d as (select doc_id, {tokens} as t from documents), b as (select item_id, {tokens} as t from benchmark),
+dp as (select doc_id, t, unnest(range(len(t))) as p from d), bp as (select item_id, t, unnest(range(len(t))) as p from b),
+dk as ({(keys + " union all " + whole).format("doc_id, t", "dp")}), bk as ({(keys + " union all " + whole).format("item_id, t", "bp")}),
+h as (select distinct doc_id, item_id, dk.t as t, bk.t as it, dk.p - bk.p as s from dk join bk on dk.m = bk.m and dk.k = bk.k),
+f as (select doc_id, item_id, s, list_transform(range(len(it)), lambda i: case when s + i >= 0 and s + i < len(t) and t[s + i + 1] = it[i + 1] then 1 else 0 end) as f from h),
+g as (select doc_id, item_id, s, list_max(list_transform(range(len(f) - least({WINDOW}, len(f)) + 1), lambda i: list_sum(f[i + 1:i + least({WINDOW}, len(f))]))) as best, list_sum(f) as matched, len(f) as n from f),
+r as (select *, row_number() over (partition by doc_id, item_id order by best desc, matched desc, s) as k from g where best >= ceil({LEAST} * least({WINDOW}, n)))
+select doc_id, item_id, cast(best as bigint) as best, cast(matched as bigint) as matched, cast(n as bigint) as n_item, cast(s as bigint) as doc_start from r where k = 1
+"""
+
+
+OP1 = _op1()
