@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, packing, quality_rules, sharding, sql, token_counts
+from . import decontamination, language_id, packing, pii, quality_rules, sharding, sql, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         decontamination.op1_spaced_seed_decontamination,
         packing.op2_sum_of_squares_packing,
+        pii.op3_skip_chain_pii,
         language_id.op4_hyperdimensional_language_id,
         token_counts.op5_trie_token_counts,
         quality_rules.op7_line_first_cleaning,
