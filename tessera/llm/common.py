@@ -57,6 +57,10 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    @property
+    def names(self) -> list[str]:
+        return list(self._made)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more; without names, all of them."""
         jvm = self.spark._jvm
