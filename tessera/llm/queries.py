@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language_id, packing, pii, quality_rules, sharding, sql, token_counts
+from . import decontamination, jaccard_join, language_id, packing, pii, quality_rules, sharding, sql, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality_rules.op7_line_first_cleaning,
         jaccard_join.op8_ngram_jaccard_join,
         sharding.op9_virtual_slot_sharding,
+        suffix_dedup.op10_suffix_array_dedup,
     ]
     return {f.__name__: f for f in found}
 
