@@ -150,12 +150,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
     """The columns ``keep`` of each row with lang_pred and score."""
     names = sorted(prototypes)
     unit = np.stack([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1) for x in names]).T.astype(np.float32) if names else None
-    given = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes[:-1]) + ", lang_pred string, score double"
+    given = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string"))
+    at = given.columns.index("text")
+    schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes if c in keep) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors, total = document_vectors(utf8(batch.column(len(keep))), dim)
+            vectors, total = document_vectors(utf8(batch.column(at)), dim)
             lang, score = [UNDETERMINED] * len(total), np.zeros(len(total))
             if names and len(total):
                 cosine = vectors @ unit / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)

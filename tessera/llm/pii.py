@@ -259,16 +259,17 @@ def train_field(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
 def find_pii(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` with base (list of start, kind, end) and spans (all), and redacted: the text with each span replaced
     by its kind in brackets (null where the text is null)."""
-    given = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    given = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string"))
+    at = given.columns.index("text")
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
     ddl = "array<struct<start:long,kind:string,end:long>>"
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in given.dtypes[:-1]), f"base {ddl}", f"spans {ddl}", "redacted string"])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in given.dtypes if c in keep), f"base {ddl}", f"spans {ddl}", "redacted string"])
     rows = lambda found: [{"start": a, "kind": KINDS[k], "end": b} for a, k, b in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, spans, texts = [], [], []
-            for text in batch.column(len(keep)).to_pylist():
+            for text in batch.column(at).to_pylist():
                 b, s = field.spans(text or "", threshold)
                 base.append(rows(b))
                 spans.append(rows(s))

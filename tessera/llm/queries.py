@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language_id, packing, pii, quality_rules, sharding, sql, suffix_dedup, token_counts
+from . import decontamination, jaccard_join, language_id, packing, pii, quality_model, quality_rules, sharding, sql, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pii.op3_skip_chain_pii,
         language_id.op4_hyperdimensional_language_id,
         token_counts.op5_trie_token_counts,
+        quality_model.op6_kneser_ney_quality,
         quality_rules.op7_line_first_cleaning,
         jaccard_join.op8_ngram_jaccard_join,
         sharding.op9_virtual_slot_sharding,
