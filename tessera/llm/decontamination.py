@@ -5,8 +5,10 @@ survives substitutions at the others. Test items and documents are hashed by the
 joined on the hash. Around each hit, document and item are laid side by side on the hit's diagonal, and the hit
 counts if some window of ``window`` item tokens (the whole item, if shorter) agrees in at least ``least`` of its tokens.
 
-Everything is built from DataFrame and SQL functions. Documents are not shuffled while the items' hashes are small:
-their size is summed first, and they are broadcast up to ``broadcast_bytes``; beyond that Spark joins by shuffling.
+Everything is built from DataFrame and SQL functions. Hits are found without carrying texts along and written to the
+scratch folder; a second pass verifies those of the few documents that have any. Items, their hashes and the hits are
+broadcast while their measured size is at most ``broadcast_bytes``, so that documents are not shuffled; beyond that
+Spark joins by shuffling.
 
 Tokens are runs of letters and digits, lower-cased. Items shorter than a mask are looked for as a whole, without
 gaps, by a mask of their own length.
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import Scratch, let, table
 
 #: Positions that each mask looks at.
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 6, 8, 9), (0, 1, 2, 5, 7, 9))
@@ -31,32 +33,44 @@ TOKENS = "filter(split(lower(coalesce(text, '')), '[^\\\\p{L}\\\\p{N}]+'), w ->
 
 
 def _hashed(rows: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> DataFrame:
-    """A row for each position and mask: ``keep``, tokens, at (from 0), h."""
+    """A row for each position and mask: ``keep``, at (from 0), h. Only ``keep`` is carried along with the tokens
+    that the masks look at, never a text's array of tokens. Places without a token have no hash."""
     span = max(m[-1] for m in masks) + 1
     shifted = ", ".join(["sequence(0, size(tokens) - 1)", *(f"slice(tokens, {k + 1}, greatest(size(tokens) - {k}, 0))" for k in range(span))])
     names = ["at", *(f"w{k}" for k in range(span))]
-    one = rows.filter("size(tokens) > 0").select(*keep, "tokens", F.expr(f"inline(arrays_zip({shifted}))").alias(*names))
+    one = rows.select(*keep, F.expr(f"inline(arrays_zip({shifted}))").alias(*names))
     hashes = ", ".join(f"if(w{m[-1]} IS NULL, NULL, xxhash64({i}, {', '.join(f'w{k}' for k in m)}))" for i, m in enumerate(masks))
-    return one.select(*keep, "tokens", F.col("at").cast("long").alias("at"), F.explode(F.expr(f"array({hashes})")).alias("h")).filter("h IS NOT NULL")
+    return one.select(*keep, F.col("at").cast("long").alias("at"), F.explode(F.expr(f"array({hashes})")).alias("h")).filter("h IS NOT NULL")
+
+
+def _small(df: DataFrame, bytes_: int, most: int) -> DataFrame:
+    return F.broadcast(df) if bytes_ <= most else df
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, best (agreeing tokens in the best window), matched (on the whole diagonal), n_item (the
     item's tokens), doc_start (the token of the document beside the item's first; negative if cut off), for the best
     diagonal of each document and item that overlap."""
+    scratch = Scratch(docs.sparkSession)
     span = max(m[-1] for m in MASKS) + 1
-    items = benchmark.select("item_id", F.expr(TOKENS).alias("tokens"))
-    sizes = items.select(F.size("tokens").alias("n"), F.octet_length(F.concat_ws(" ", "tokens")).alias("b")).filter("n > 0")
+    items = benchmark.select("item_id", F.expr(TOKENS).alias("tokens")).filter("size(tokens) > 0").withColumn("item_key", F.xxhash64("tokens")).distinct()
+    sizes = items.select(F.size("tokens").alias("n"), F.octet_length(F.concat_ws(" ", "tokens")).alias("b"))
     short = sorted(r.n for r in sizes.filter(F.col("n") < span).select("n").distinct().collect())  # fewer than span values
     masks = [*MASKS, *(tuple(range(n)) for n in short)]
-    bytes_ = sizes.agg(F.sum(F.col("n") * (F.col("b") + 40) * len(masks))).first()[0] or 0
-    wanted = _hashed(items, masks, ["item_id"]).select("item_id", F.col("tokens").alias("item"), F.col("at").alias("item_at"), "h").distinct()
-    wanted = F.broadcast(wanted) if bytes_ <= broadcast_bytes else wanted
+    n_tokens, n_bytes = (x or 0 for x in sizes.agg(F.sum("n"), F.sum("b")).first())
+    wanted = _hashed(items, masks, ["item_id", "item_key"]).withColumnRenamed("at", "item_at").distinct()
     rows = docs.select("doc_id", F.expr(TOKENS).alias("tokens"))
-    hits = _hashed(rows, masks, ["doc_id"]).join(wanted, "h").withColumn("start", F.col("at") - F.col("item_at"))
+    hits = _hashed(rows, masks, ["doc_id"]).join(_small(wanted, 48 * n_tokens * len(masks), broadcast_bytes), "h")
+    hits = hits.select("doc_id", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("start")).distinct()
+    hits = scratch.table(hits, "hits")
+    sided = hits.join(_small(items.withColumnRenamed("tokens", "item"), n_bytes + 32 * n_tokens, broadcast_bytes), [hits[c].eqNullSafe(items[c]) for c in ("item_id", "item_key")]).select("doc_id", hits["item_id"], "start", "item")
+    each = (n_bytes + 32 * n_tokens) // max(1, sizes.count()) + 64
+    sided = _small(sided.withColumnRenamed("doc_id", "hit_doc"), hits.count() * each, broadcast_bytes)
+    beside = rows.join(sided, rows["doc_id"].eqNullSafe(sided["hit_doc"]))
     same = "transform(item, (w, k) -> if(start + k >= 0 AND start + k < size(tokens) AND get(tokens, cast(start + k AS int)) <=> w, 1, 0))"
-    sums = "transform(sequence(0, size(f) - n), i -> aggregate(slice(f, i + 1, n), 0, (a, x) -> a + x))".replace("n)", f"least({window}, size(f)))", 1).replace(", n)", f", least({window}, size(f)))")
-    found = hits.select(
+    wide = f"least({window}, size(f))"
+    sums = f"transform(sequence(0, size(f) - {wide}), i -> aggregate(slice(f, i + 1, {wide}), 0, (a, x) -> a + x))"
+    found = beside.select(
         "doc_id", "item_id", "start", F.expr(let(same, "f", f"struct(array_max({sums}) AS best, aggregate(f, 0, (a, x) -> a + x) AS matched, size(f) AS n_item)")).alias("m")
     ).filter(f"m.best >= ceil({least} * least({window}, m.n_item))")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("m.best", "m.matched", (-F.col("start")).alias("minus"), "m.n_item")).alias("m"))
