@@ -69,6 +69,18 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def broadcast_up_to(df: DataFrame, size: int, most: int = 32 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its measured ``size`` in bytes is at most ``most``; else as it is, and Spark joins
+    by shuffling."""
+    return F.broadcast(df) if size <= most else df
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is none of ``ids`` (a stored table); rows without doc_id stay."""
+    gone = ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    return docs.join(broadcast_up_to(gone, 64 * gone.count()), "doc_id", "left_anti").select(*docs.columns)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64): spreads the bits of hashes that are to be summed or cut."""
     x = x.astype(np.uint64, copy=True)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, table
+from .common import Scratch, broadcast_up_to, let, table, without_ids
 
 #: Positions that each mask looks at.
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 6, 8, 9), (0, 1, 2, 5, 7, 9))
@@ -43,10 +43,6 @@ def _hashed(rows: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> D
     return one.select(*keep, F.col("at").cast("long").alias("at"), F.explode(F.expr(f"array({hashes})")).alias("h")).filter("h IS NOT NULL")
 
 
-def _small(df: DataFrame, bytes_: int, most: int) -> DataFrame:
-    return F.broadcast(df) if bytes_ <= most else df
-
-
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, best (agreeing tokens in the best window), matched (on the whole diagonal), n_item (the
     item's tokens), doc_start (the token of the document beside the item's first; negative if cut off), for the best
@@ -60,12 +56,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     n_tokens, n_bytes = (x or 0 for x in sizes.agg(F.sum("n"), F.sum("b")).first())
     wanted = _hashed(items, masks, ["item_id", "item_key"]).withColumnRenamed("at", "item_at").distinct()
     rows = docs.select("doc_id", F.expr(TOKENS).alias("tokens"))
-    hits = _hashed(rows, masks, ["doc_id"]).join(_small(wanted, 48 * n_tokens * len(masks), broadcast_bytes), "h")
+    hits = _hashed(rows, masks, ["doc_id"]).join(broadcast_up_to(wanted, 48 * n_tokens * len(masks), broadcast_bytes), "h")
     hits = hits.select("doc_id", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("start")).distinct()
     hits = scratch.table(hits, "hits")
-    sided = hits.join(_small(items.withColumnRenamed("tokens", "item"), n_bytes + 32 * n_tokens, broadcast_bytes), [hits[c].eqNullSafe(items[c]) for c in ("item_id", "item_key")]).select("doc_id", hits["item_id"], "start", "item")
+    sided = hits.join(broadcast_up_to(items.withColumnRenamed("tokens", "item"), n_bytes + 32 * n_tokens, broadcast_bytes), [hits[c].eqNullSafe(items[c]) for c in ("item_id", "item_key")]).select("doc_id", hits["item_id"], "start", "item")
     each = (n_bytes + 32 * n_tokens) // max(1, sizes.count()) + 64
-    sided = _small(sided.withColumnRenamed("doc_id", "hit_doc"), hits.count() * each, broadcast_bytes)
+    sided = broadcast_up_to(sided.withColumnRenamed("doc_id", "hit_doc"), hits.count() * each, broadcast_bytes)
     beside = rows.join(sided, rows["doc_id"].eqNullSafe(sided["hit_doc"]))
     same = "transform(item, (w, k) -> if(start + k >= 0 AND start + k < size(tokens) AND get(tokens, cast(start + k AS int)) <=> w, 1, 0))"
     wide = f"least({window}, size(f))"
@@ -79,7 +75,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap no item; rows without doc_id stay."""
-    return docs.join(find_overlaps(docs, benchmark).select("doc_id").filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti")
+    found = Scratch(docs.sparkSession).table(find_overlaps(docs, benchmark).select("doc_id"), "overlaps")
+    return without_ids(docs, found)
 
 
 def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, table, utf8
+from .common import Scratch, mix64, table, utf8, without_ids
 from .components import connected_components
 
 TILE = 1024
@@ -334,8 +334,7 @@ def jaccard_join(docs: DataFrame, rule: Rule = Rule(), tile: int = TILE, scratch
 
 def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
     """The documents without those linked to one with a smaller doc_id."""
-    gone = jaccard_join(docs, rule).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, jaccard_join(docs, rule).filter("component_id <> doc_id"))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
