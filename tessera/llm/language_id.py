@@ -150,7 +150,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
     """The columns ``keep`` of each row with lang_pred and score."""
     names = sorted(prototypes)
     unit = np.stack([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1) for x in names]).T.astype(np.float32) if names else None
-    given = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string"))
+    given = docs.select(*(F.col(f"`{c}`") for c in keep)) if "text" in keep else docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string"))
     at = given.columns.index("text")
     schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes if c in keep) + ", lang_pred string, score double"
 

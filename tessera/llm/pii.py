@@ -259,7 +259,7 @@ def train_field(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
 def find_pii(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` with base (list of start, kind, end) and spans (all), and redacted: the text with each span replaced
     by its kind in brackets (null where the text is null)."""
-    given = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").cast("string"))
+    given = docs.select(*(F.col(f"`{c}`") for c in keep)) if "text" in keep else docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string"))
     at = given.columns.index("text")
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
     ddl = "array<struct<start:long,kind:string,end:long>>"
