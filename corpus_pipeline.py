@@ -13,14 +13,22 @@ from tessera.llm import decontamination, jaccard_join, language_id, packing, pii
 from tessera.llm.common import Scratch, table
 
 
+def _aside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns whose names an operator's results take moved aside, and the names to give them back."""
+    names = {c: f"own_{i}_{c}" if c in taken else c for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go; the others get the predicted language.
 
     Prototypes are learned from the given languages, without the held-out quarter.
     """
     prototypes = language_id.train(docs, ~language_id.held_out() & F.col("doc_id").isNotNull())
-    found = language_id.predict(docs, prototypes, keep=tuple(docs.columns))
-    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    own, names = _aside(docs, ("lang_pred", "score"))
+    found = language_id.predict(own, prototypes, keep=tuple(own.columns))
+    found = found.filter(F.col("lang_pred") != language_id.UNDETERMINED).withColumn("lang", F.col("lang_pred"))
+    return found.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +43,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind; n_chars follows."""
-    found = pii.find_pii(docs, pii.train_field(docs), keep=tuple(docs.columns))
-    return found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own, names = _aside(docs, ("base", "spans", "redacted"))
+    found = pii.find_pii(own, pii.train_field(docs), keep=tuple(own.columns)).withColumn("text", F.col("redacted"))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast("long"))
+    return found.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
