@@ -126,9 +126,9 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
     c1 = c2.groupBy(F.col("key").bitwiseAND((1 << _BITS) - 1).alias("key")).agg(F.count("*").alias("c")).withColumn("context", F.lit(0))
     (p3, g3), (p2, g2), (p1, g1) = (_shared(c, "context", discounts(c)) for c in (c3, c2, c1))
     pull = lambda df: tuple(np.asarray(x) for x in zip(*sorted(map(tuple, df.collect())), strict=True)) or (np.zeros(0, np.int64), np.zeros(0))
-    k3, v3 = pull(p3)
-    k2, v2 = pull(p2)
-    k1, v1 = pull(p1)
+    (k3, v3), (k2, v2), (k1, v1) = pull(p3), pull(p2), pull(p1)
+    if not len(k1):  # nothing to learn from
+        k3, v3, k2, v2 = np.full(1, -1), np.zeros(1), np.full(1, -1), np.zeros(1)
     by_one, by_two = pull(g2), pull(g3)
     size = len(distinct) + 2
     unigram, left1, left2 = np.zeros(size), np.ones(size), np.ones(max(1, len(k2)))
@@ -136,7 +136,7 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
     left1[by_one[0]] = by_one[1]
     at, hit = _find(k2, by_two[0])
     left2[at[hit]] = by_two[1][hit]
-    uniform = (pull(g1)[1][0] if len(k1) else 1.0) / size
+    uniform = (pull(g1)[1][0] if len(k1) else 1.0) / (size - 1)  # every word and the unknown one
     # contexts that were only seen as contexts (beginnings) have no bigram of their own
     extra = by_two[0][~hit]
     if len(extra):

@@ -43,8 +43,7 @@ class SlotMap:
 
     def rebalance(self, slot_bytes: list[int], shards: int | None = None) -> SlotMap:
         """The next version, for new slot sizes or more shards: moves slots from the fullest to the emptiest
-        shard while that narrows the gap between the two. With ``shards`` raised, the new ones start empty, so
-        slots flow into them."""
+        shard while that narrows the gap between the two. With ``shards`` raised, slots move into new shards only."""
         shards = shards or self.shards
         if shards < self.shards:
             raise ValueError("a map can gain shards, not lose them")
@@ -53,9 +52,9 @@ class SlotMap:
         for slot, shard in enumerate(shard_of):
             load[shard] += slot_bytes[slot]
             own[shard].append((slot_bytes[slot], slot))
-        moved = []
+        moved, into = [], range(self.shards if shards > self.shards else 0, shards)
         while True:
-            full, free = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
+            full, free = max(range(shards), key=load.__getitem__), min(into, key=load.__getitem__)
             gap = load[full] - load[free]
             fits = [x for x in own[full] if 0 < x[0] < gap]
             if not fits:
