@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..params import JoinParams
 from ..plans import pairs, tiles
 from ..sources.series import Series
+from ..tuning import lookup
 
 log = logging.getLogger("tessera")
 _operation = itertools.count(1)
@@ -61,7 +62,8 @@ def _run(a: Any, b: Any, p: JoinParams) -> tuple[DataFrame, bool]:
     if plan == "catalyst":
         out = pairs.profile(a.rows, b.rows, p)
     else:
-        length = tiles.tile_length(max(na, nb), p.m, cores, p.max_tile_size)
+        tuned = lookup(spark, p.kind, max(na, nb), p.m) if p.max_tile_size is None else None
+        length = tuned or tiles.tile_length(max(na, nb), p.m, cores, p.max_tile_size)
         count = -(-na // length) * -(-nb // length) * max(1, all_a // na)
         out = tiles.profile(a.rows, b.rows, p, length, int(min(max(cores * 4, count // 64), max(1, count), 100_000)))
     if p.verbose:

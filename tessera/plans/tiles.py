@@ -87,7 +87,8 @@ _FIELDS = {
 
 def evaluate(tile_rows: DataFrame, p: JoinParams, tile: int) -> DataFrame:
     """Partial results of every tile, in the columns of its kind."""
-    names = [x.split()[0] for x in _FIELDS[p.kind].split(", ")]
+    names, types = zip(*(x.split() for x in _FIELDS[p.kind].split(", ")), strict=True)
+    names, kinds = list(names), [{"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[t] for t in types[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,18 +117,11 @@ def evaluate(tile_rows: DataFrame, p: JoinParams, tile: int) -> DataFrame:
                     cells = t.cells()
                     out = [([a for a, _ in cells], [b for _, b in cells], list(cells.values()))]
                 for part in out:
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part[0]), pa.string()), *(pa.array(x) if not len(x) or isinstance(x[0], str) else pa.array(np.asarray(x)) for x in map(_typed, part))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part[0]), pa.string()), *(pa.array(x, k) for x, k in zip(part, kinds, strict=True))], names=names)
 
     return tile_rows.mapInArrow(run, _FIELDS[p.kind])
 
 
-def _typed(x):
-    if len(x) and isinstance(x[0], str):
-        return x
-    x = np.asarray(x)
-    return x.astype(np.float64 if x.dtype.kind == "f" else np.int64)
-
-
 def profile(a: DataFrame, b: DataFrame, p: JoinParams, tile: int, parts: int) -> DataFrame:
     """1NN kinds: series_id, axis, col_idx, corr (null without a match), row_idx; sum: series_id, col_idx, corr_sum;
     knn: series_id, col_idx, row_idx, rank, corr; matrix: series_id, bin_row, bin_col, corr (null below threshold)."""
