@@ -24,14 +24,16 @@ def sliding(rows: DataFrame, m: int) -> DataFrame:
 def normalised(rows: DataFrame, m: int) -> DataFrame:
     """series_id, i, mean, norm, valid, z: windows less their mean, over the root of their sum of squares.
 
-    Windows are scaled by their largest absolute value first, so that squares neither overflow nor vanish; flatness
-    is tested in the original units.
+    Windows are taken relative to their first sample, so a large common offset costs no digits, and scaled by their
+    largest deviation, so that squares neither overflow nor vanish; flatness is tested in the original units. Quarters
+    keep differences finite.
     """
     w = sliding(rows, m)
-    scaled = w.withColumn("scale", F.expr("greatest(array_max(transform(w, x -> abs(x))), 1e-300D)"))
-    scaled = scaled.withColumn("u", F.expr("transform(w, x -> x / scale)")).withColumn("mean_u", F.expr(f"aggregate(u, 0D, (s, x) -> s + x) / {m}"))
+    moved = w.withColumn("q", F.expr("transform(w, x -> x / 4 - w[0] / 4)"))
+    scaled = moved.withColumn("scale", F.expr("greatest(array_max(transform(q, x -> abs(x))), 1e-300D)"))
+    scaled = scaled.withColumn("u", F.expr("transform(q, x -> x / scale)")).withColumn("mean_u", F.expr(f"aggregate(u, 0D, (s, x) -> s + x) / {m}"))
     centred = scaled.withColumn("c", F.expr("transform(u, x -> x - mean_u)")).withColumn("norm_u", F.expr("sqrt(aggregate(c, 0D, (s, x) -> s + x * x))"))
-    valid = F.col("complete") & (F.col("norm_u") > F.sqrt(F.lit(FLAT)) / F.col("scale"))
+    valid = F.col("complete") & (F.col("norm_u") > F.sqrt(F.lit(FLAT)) / 4 / F.col("scale"))
     return centred.select(
-        "series_id", "i", (F.col("mean_u") * F.col("scale")).alias("mean"), (F.col("norm_u") * F.col("scale")).alias("norm"), valid.alias("valid"), F.expr("transform(c, x -> x / norm_u)").alias("z")
+        "series_id", "i", (F.col("mean_u") * F.col("scale") * 4 + F.col("w")[0]).alias("mean"), (F.col("norm_u") * F.col("scale") * 4).alias("norm"), valid.alias("valid"), F.expr("transform(c, x -> x / norm_u)").alias("z")
     )

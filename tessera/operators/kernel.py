@@ -20,7 +20,8 @@ CHUNK = 1 << 20  # pairs held at once
 def normalise(samples: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit windows, a row each, and which are valid: complete and not flat.
 
-    Every window is scaled by its own largest absolute value, so neither huge nor tiny samples lose others' digits.
+    Every window is taken relative to its first sample, so a large common offset costs no digits, and scaled by its own
+    largest deviation, so neither huge nor tiny samples lose others' digits. (Quarters keep differences finite.)
     """
     n = len(samples) - m + 1
     if n <= 0:
@@ -29,11 +30,12 @@ def normalise(samples: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     clean = np.where(finite, samples, 0.0)
     windows = np.lib.stride_tricks.sliding_window_view(clean, m)
     gaps = np.concatenate([[0], np.cumsum(~finite)])
-    scale = np.maximum(np.abs(windows).max(1), 1e-300)
-    z = windows / scale[:, None]
+    z = windows / 4 - windows[:, :1] / 4
+    scale = np.maximum(np.abs(z).max(1), 1e-300)
+    z /= scale[:, None]
     z -= z.mean(1, keepdims=True)
     norm = np.sqrt(np.einsum("ij,ij->i", z, z))
-    valid = (gaps[m:] == gaps[:-m]) & (norm > np.sqrt(FLAT) / scale)
+    valid = (gaps[m:] == gaps[:-m]) & (norm > np.sqrt(FLAT) / 4 / scale)
     z /= np.where(valid, norm, 1.0)[:, None]
     return z, valid
 

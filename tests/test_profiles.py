@@ -97,6 +97,8 @@ def test_extremes(spark, plan):
     assert one([1.0, 2, 4], [-1.0, -2, -4])[0].corr == pytest.approx(-1)
     high = 1e7 + np.random.default_rng(1).integers(-32, 33, 40)
     close([(r.corr, r.row_idx) for r in one(high, high[::-1])], O.best(O.pairs(high - 1e7, high[::-1] - 1e7, 3)), 1e-6)
+    low = np.random.default_rng(2).integers(-32, 33, 40) * 2.0
+    close([(r.corr, r.row_idx) for r in one(low + 1e16, low[::-1] + 1e16)], O.best(O.pairs(low, low[::-1], 3)), 1e-9)
     assert math.isnan(one([1e8, 1e8 + 1, 1e8 + 2, 1e8 + 4], [1.0, 2, 3], precision="single")[0].corr)
     assert one([1e8, 1e8 + 1, 1e8 + 2, 1e8 + 4], [1.0, 2, 3])[0].corr == pytest.approx(1)
 
