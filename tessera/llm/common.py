@@ -69,6 +69,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """``df``; from here on Arrow batches of its session have at most about ``most`` bytes, however long texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > most:
+        df.sparkSession.conf.set(key, str(most))
+    return df
+
+
 def broadcast_up_to(df: DataFrame, size: int, most: int = 32 << 20) -> DataFrame:
     """``df`` marked for broadcast if its measured ``size`` in bytes is at most ``most``; else as it is, and Spark joins
     by shuffling."""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, bounded_batches, table
 
 TRAIN_DOCS, TRAIN_CHARS = 6000, 20_000
 QUANTILE, PRIOR = 0.995, 30
@@ -106,11 +106,11 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([words(t or b"") for t in batch.column(0).to_pylist()], pa.list_(pa.binary()))], names=["w"])
 
-    lists = scratch.table(texts.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(split, "w array<binary>"), "words")
-    distinct = sorted(r.w for r in lists.select(F.explode("w").alias("w")).distinct().collect())
+    lists = scratch.table(bounded_batches(texts).select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(split, "w array<binary>"), "words")
+    distinct = sorted(lists.select(F.explode("w").alias("w")).distinct().toArrow().column(0).to_pylist())
     if len(distinct) >= (1 << _BITS) - 2:
         raise ValueError("the sample has too many distinct words for its keys; lower train_docs")
-    vocabulary = {bytes(w): i + 2 for i, w in enumerate(distinct)}
+    vocabulary = {w: i + 2 for i, w in enumerate(distinct)}
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +125,12 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
     c2 = scratch.table(c3.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.count("*").alias("c")).withColumn("context", F.shiftright("key", _BITS)), "c2")
     c1 = c2.groupBy(F.col("key").bitwiseAND((1 << _BITS) - 1).alias("key")).agg(F.count("*").alias("c")).withColumn("context", F.lit(0))
     (p3, g3), (p2, g2), (p1, g1) = (_shared(c, "context", discounts(c)) for c in (c3, c2, c1))
-    pull = lambda df: tuple(np.asarray(x) for x in zip(*sorted(map(tuple, df.collect())), strict=True)) or (np.zeros(0, np.int64), np.zeros(0))
+
+    def pull(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = (np.asarray(c.to_numpy()) for c in df.toArrow().columns)
+        order = np.argsort(keys)
+        return keys[order], values[order]
+
     (k3, v3), (k2, v2), (k1, v1) = pull(p3), pull(p2), pull(p1)
     if not len(k1):  # nothing to learn from
         k3, v3, k2, v2 = np.full(1, -1), np.zeros(1), np.full(1, -1), np.zeros(1)
@@ -169,7 +174,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     nll[a + some] = -np.add.reduceat(model.log_probability(ids, starts), starts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count), pa.array(np.round(nll, 6))], names=["doc_id", "lang", "n_words", "nll"])
 
-    given = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string").cast("binary"))
+    given = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string").cast("binary"))
     return given.mapInArrow(run, "doc_id long, lang string, n_words long, nll double")
 
 
