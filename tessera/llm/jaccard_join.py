@@ -27,19 +27,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, table, utf8, without_ids
+from .common import Scratch, bounded_batches, mix64, table, utf8, without_ids
 from .components import connected_components
 
 TILE = 1024
 _U = np.uint64
-_BATCH = 2_000_000  # bytes hashed at once; bounds memory, not results
+_BATCH = 400_000  # bytes hashed at once; bounds memory, not results
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class Rule:
         return self.den * overlap >= self.num * (x + y - overlap)
 
 
-@cache
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Powers of an odd number, of its inverse modulo 2**64, and a random number for each byte."""
     base = 0x9E3779B97F4A7C15
@@ -74,7 +74,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     Sums of byte values times powers give the hash of each word from one running sum over all texts.
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    powers, inverse, value = _powers(1 << max(21, int(len(data)).bit_length()))
+    powers, inverse, value = _powers(1 << max(19, int(len(data)).bit_length()))
     space = _SPACE[data]
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     last = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
@@ -311,7 +311,7 @@ def link_tiles(rows: DataFrame, rule: Rule) -> DataFrame:
 def jaccard_join(docs: DataFrame, rule: Rule = Rule(), tile: int = TILE, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     scratch = scratch or Scratch(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = scratch.table(classes(texts, rule), "classes")
     known = every.filter("doc_id IS NOT NULL AND n_shingles > 0")
     reps = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import bounded_batches, table, utf8
 
 DIM = 1024
 UNDETERMINED = "und"
-_CHUNK = 1_500_000  # characters taken at once; bounds memory, not results
+_CHUNK = 750_000  # characters taken at once; bounds memory, not results
 
 
 @cache
@@ -141,7 +141,7 @@ def train(docs: DataFrame, training: Column, dim: int = DIM) -> dict[str, np.nda
                     sums[names[x]] = sums.get(names[x], 0) + found[x].astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    parts = rows.mapInArrow(run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
+    parts = bounded_batches(rows).mapInArrow(run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
     bundled = parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
     return {r.lang: np.array([x.x for x in r.v]) for r in bundled.collect()}
 
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
                 score = np.where(total > 0, np.clip(np.round(cosine[np.arange(len(best)), best].astype(float), 6), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return given.mapInArrow(run, schema)
+    return bounded_batches(given).mapInArrow(run, schema)
 
 
 def held_out() -> Column:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, utf8
+from .common import bounded_batches, table, utf8
 
 CAPACITY, END = 1024, 2
 DOCS_PER_GROUP = 65_536
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+@cache
+def encoder(json_path: str | None = None) -> Encoder:
+    """One for each worker process."""
+    return Encoder(json_path)
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE vocabulary, equal to those of the tokenizers library.
 
@@ -66,7 +73,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, end: int = END, json_pat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = Encoder(json_path), array("I", [end]).tobytes()
+        encode, last = encoder(json_path), array("I", [end]).tobytes()
         for batch in batches:
             for rows in _by_size(zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True)):
                 out: list[list] = [[], [], [], [], []]
@@ -80,10 +87,10 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, end: int = END, json_pat
                         start, stop, piece = stop, stop + capacity, piece + 1
                 yield _pieces(out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def _by_size(rows, most: int = 2_000_000) -> Iterator[list]:
+def _by_size(rows, most: int = 500_000) -> Iterator[list]:
     """Runs of rows whose texts together have about ``most`` characters."""
     held, n = [], 0
     for row in rows:
@@ -156,7 +163,7 @@ def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY, docs_per_g
             kept = [n for n in names if n != "pack_group"]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in kept), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*kept, "sequence_id", "offset"])
 
-    return dealt.mapInArrow(run, schema)
+    return bounded_batches(dealt).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

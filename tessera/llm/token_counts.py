@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import bounded_batches, table, utf8
 
 KEEP = 400_000
 
@@ -96,7 +96,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None, keep: int = KEE
             columns = [ids, [len(w) for w in split], [sum(map(get, w)) for w in split], [len(t) for t in texts]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if isinstance(c, list) else c for c in columns], names=["doc_id", "n_pretokens", "n_tokens", "n_chars"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, n_chars long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, n_chars long")
 
 
 def op5_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
