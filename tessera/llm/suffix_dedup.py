@@ -12,8 +12,9 @@ equal offsets, so they share a bucket, and the windows of one anchor follow each
    Contexts are laid out with their anchors at one residue modulo 31, and the suffixes that start at places in a
    difference cover modulo 31 are ranked first, by doubling (31, 62, ... 496 bytes). Suffixes of a bucket are then
    sorted by their offset, the few bytes up to the next cover place, and the rank there, which resolves long ties.
-   Neighbours that agree in ``LENGTH`` bytes mark each other. Blocks of small buckets are sorted together and a
-   large bucket by ranges of offsets, so that the arrays in memory stay bounded.
+   Neighbours that agree in ``LENGTH`` bytes mark each other. Blocks of small buckets are sorted together. A bucket
+   with very many different contexts (a common passage in different surroundings) is split first, by ranges of
+   offsets and the bytes that all windows of a range share; what is still large is sorted by ranges of offsets.
 3. Marked runs are gathered per document and cut out.
 
 Edge cases: a null text is empty; texts shorter than ``LENGTH`` keep everything; a null doc_id is a document like any
@@ -31,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, table
+from .common import Scratch, bounded_batches, mix64, table
 from .jaccard_join import _powers
 
 LENGTH, GRAM = 400, 32
 PERIOD = 31
 #: A difference cover modulo 31: every residue is a difference of two of its members.
 COVER = (0, 1, 3, 8, 12, 18)
-SEGMENT = 1_000_000  # bytes taken at once; bounds memory, not results
+SEGMENT = 400_000  # bytes taken at once; bounds memory, not results
 BLOCK = 400_000  # suffixes sorted at once
+#: Buckets with more different contexts than this are split, by ranges of so many offsets.
+SPLIT, RANGE = 256, 64
 _U = np.uint64
 
 ANCHOR = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<i8"), ("lo", "<u2"), ("hi", "<u2"), ("null", "?")])
@@ -47,7 +50,7 @@ ANCHOR = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("key", "<i8"), (
 
 def sums(data: np.ndarray) -> np.ndarray:
     """Running sums whose differences, times the inverse power of the start, are hashes of substrings."""
-    powers, _, value = _powers(1 << 21)
+    powers, _, value = _powers(1 << 19)
     return np.concatenate([np.zeros(1, _U), np.cumsum(value[data] * powers[: len(data)], dtype=_U)])
 
 
@@ -64,7 +67,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     n, inside = len(data), length - GRAM + 1
     if n < length:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    s, inverse = sums(data), _powers(1 << 21)[1]
+    s, inverse = sums(data), _powers(1 << 19)[1]
     grams = mix64((s[GRAM:] - s[:-GRAM]) * inverse[: n - GRAM + 1])
     low = _U((1 << 21) - 1)
     ranked = (grams & ~low) | np.arange(len(grams), dtype=_U)
@@ -143,17 +146,18 @@ def anchor_records(docs: DataFrame, shards: int) -> DataFrame:
     return docs.mapInArrow(run, "shard int, block binary")
 
 
-FOUND = "doc_id long, key long, start long, stop long, bucket long, at long, lo int, hi int"
+FOUND = "doc_id long, key long, start long, stop long, bucket long, at long, lo int, hi int, kinds long"
 
 
-def _found(doc, null, key, start, stop, bucket=None, at=None, lo=None, hi=None) -> pa.RecordBatch:
+def _found(doc, null, key, start, stop, bucket=None, at=None, lo=None, hi=None, kinds=None) -> pa.RecordBatch:
     none = lambda kind: pa.nulls(len(doc), kind)
     columns = [
         pa.array(doc, pa.int64(), mask=np.asarray(null, bool)), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64()),
         none(pa.int64()) if bucket is None else pa.array(bucket, pa.int64()), none(pa.int64()) if at is None else pa.array(at, pa.int64()),
         none(pa.int32()) if lo is None else pa.array(lo, pa.int32()), none(pa.int32()) if hi is None else pa.array(hi, pa.int32()),
+        none(pa.int64()) if kinds is None else pa.array(kinds, pa.int64()),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "start", "stop", "bucket", "at", "lo", "hi"])
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "start", "stop", "bucket", "at", "lo", "hi", "kinds"])
 
 
 def meet(records: DataFrame, shards: int) -> DataFrame:
@@ -174,7 +178,7 @@ def meet(records: DataFrame, shards: int) -> DataFrame:
             x = part[same]
             yield _found(x["doc"], x["null"], x["key"], x["at"] - x["hi"], x["at"] - x["lo"] + LENGTH)
             x = part[many]
-            yield _found(x["doc"], x["null"], x["key"], x["at"] - x["hi"], x["at"] - x["lo"].astype(int) + LENGTH, x["h"].astype(np.int64), x["at"], x["lo"], x["hi"])
+            yield _found(x["doc"], x["null"], x["key"], x["at"] - x["hi"], x["at"] - x["lo"].astype(int) + LENGTH, x["h"].astype(np.int64), x["at"], x["lo"], x["hi"], kinds[i : i + 100_000][many])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -305,11 +309,21 @@ def judge_buckets(contexts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, key long, start long, stop long")
 
 
+def split_bucket(text: bytes, w) -> Iterator[tuple[int, int, int]]:
+    """A context of a large bucket as (bucket, lo, hi) of smaller ones: for each range of offsets that it reaches, the
+    bytes that all windows of that range have in common name the bucket. Equal windows agree in them."""
+    for r in range(w["lo"] // RANGE, w["hi"] // RANGE + 1):
+        first = w["at"] - r * RANGE
+        common = text[first : first + LENGTH - RANGE + 1]
+        named = hashlib.blake2b(common, digest_size=8, salt=w["bucket"].to_bytes(8, "little", signed=True), person=r.to_bytes(8, "little")).digest()
+        yield int.from_bytes(named, "little", signed=True), max(w["lo"], r * RANGE), min(w["hi"], r * RANGE + RANGE - 1)
+
+
 def repeated_runs(docs: DataFrame, scratch: Scratch, shards: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` dealt by doc_id, and the repeated runs doc_id, key, start, stop."""
     found = scratch.table(meet(anchor_records(docs, shards), shards), "anchors")
     dealt = docs.repartition(shards, "doc_id")
-    wanted = found.filter("bucket IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("key", "bucket", "start", "stop", "lo", "hi")).alias("wanted"))
+    wanted = found.filter("bucket IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("key", "bucket", "at", "start", "stop", "lo", "hi", "kinds")).alias("wanted"))
     held = dealt.join(wanted.repartition(shards, "doc_id").hint("shuffle_hash"), dealt["doc_id"].eqNullSafe(wanted["doc_id"])).select(dealt["doc_id"], "bytes", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,8 +333,10 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, shards: int) -> tuple[DataF
                 key = text_key(text)
                 for w in want:
                     if w["key"] == key:
-                        for column, x in zip(out, (w["bucket"], doc_id, key, w["start"], w["lo"], w["hi"], text[w["start"] : w["stop"]]), strict=True):
-                            column.append(x)
+                        for bucket, lo, hi in split_bucket(text, w) if w["kinds"] > SPLIT else [(w["bucket"], w["lo"], w["hi"])]:
+                            start, stop = w["at"] - hi, w["at"] - lo + LENGTH
+                            for column, x in zip(out, (bucket, doc_id, key, start, lo, hi, text[start:stop]), strict=True):
+                                column.append(x)
             kinds = (*(pa.int64(),) * 4, pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "doc_id", "key", "start", "lo", "hi", "bytes"])
 
@@ -334,7 +350,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"))
+    given = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"))
     dealt, runs = repeated_runs(given, scratch, shards)
     marks = runs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "stop")).alias("marks"))
     both = dealt.join(marks.repartition(shards, "doc_id").hint("shuffle_hash"), dealt["doc_id"].eqNullSafe(marks["doc_id"]), "left").select(dealt["doc_id"], "bytes", "marks")

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tessera.llm import suffix_dedup as S
 
@@ -37,7 +38,9 @@ def test_cover():
     assert {(a - b) % S.PERIOD for a in S.COVER for b in S.COVER} == set(range(S.PERIOD))
 
 
-def test_planted(spark):
+@pytest.mark.parametrize("split", [S.SPLIT, 1])
+def test_planted(spark, monkeypatch, split):
+    monkeypatch.setattr(S, "SPLIT", split)
     base, passage = prose(1, 500), prose(2, 120)[:420]
     texts = [base, base, base[:900] + "X" + base[901:], base[:399], "start " + base[50:449], "start " + base[50:450], prose(3, 60) + passage + prose(4, 70), passage + prose(5, 50), prose(6, 40) + passage[:400], "ab" * 500, "z" * 401, "z" * 400, "é" * 201, passage[1:] + "!"]
     texts += [base[k : k + 700] + f" {k}" for k in range(0, 1200, 61)]
