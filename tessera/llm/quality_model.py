@@ -1,10 +1,19 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model (words, order 3) is trained on a bounded sample of documents that ``labels`` calls good: at most
-``train_docs`` of them with at most ``train_chars`` characters each, so at most the product of both in characters.
-N-grams are counted, discounted and joined with their contexts' counts in Spark, sharded by n-gram; the finished
-tables (bounded as the sample is, and checked against ``MODEL_BYTES``) go to the scoring tasks, where a batch's n-grams
-are joined with them by sorted search.
+The model (words, order 3) is trained on the whole texts of a fixed share of the documents that ``labels`` calls good:
+half of them at every size, by a hash of doc_id. The other half sets the thresholds. A caller may ask for less by
+``train_docs`` and ``train_chars``; nothing is left out unless it does.
+
+N-grams are counted, discounted and joined with their contexts' counts in Spark. A word's log probability is a sum of
+parts that each belong to one n-gram and are 0 for an n-gram that training has not seen::
+
+    log P(w|uv) = log uniform + L1(w) + B2(v) + D2(vw) + B3(uv) + D3(uvw)
+
+with L1 = log(P1 / uniform), B the log of the weight that a context leaves to the lower order, and D = log(1 + own
+share / (that weight * probability of the lower order)). So a document is scored by joining its n-grams, counted block
+by block, with the table of parts and summing: both sides are dealt into shards of keys, and a task holds the table of
+one shard while the blocks pass by. Words and n-grams are known by 64-bit hashes; neither a vocabulary nor a table
+is gathered in one place.
 
 A document's score is its perplexity, smoothed by ``PRIOR`` words at its language's mean so that short texts are not
 judged by a few words. The threshold is a quantile of the score, per language, of trusted documents that were not
@@ -22,64 +31,81 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, table
+from .common import Scratch, bounded_batches, mix64, table
 
-TRAIN_DOCS, TRAIN_CHARS = 6000, 20_000
+#: Millionths of the trusted documents that are trained on.
+TRAIN_SHARE = 500_000
 QUANTILE, PRIOR = 0.995, 30
-MODEL_BYTES = 256 << 20
+#: Words and documents of a block; keys that a shard's table has about, and the least number of shards.
+BLOCK_WORDS, BLOCK_DOCS, SHARD_KEYS, LEAST_SHARDS = 400_000, 30_000, 1_000_000, 64
 _STRIP = b".,;:?()\"'"
-_BITS = 21  # word numbers: three of them make a key of 63 bits
+_BEGIN = 1
+_KNOWN: dict[bytes, int] = {}  # a worker's hashes of words
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(None, _STRIP).split()
 
 
+def _hashes(found: list[bytes]) -> np.ndarray:
+    if len(_KNOWN) > 500_000:
+        _KNOWN.clear()
+    for w in set(found).difference(_KNOWN):
+        _KNOWN[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little", signed=True)
+    return np.fromiter(map(_KNOWN.__getitem__, found), np.int64, len(found))
+
+
+def _key(*parts: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from the hashes of their words."""
+    key = mix64(parts[0].astype(np.int64).view(np.uint64))
+    for p in parts[1:]:
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + p.astype(np.int64).view(np.uint64))
+    return key
+
+
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    """Rises with the key."""
+    return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _marked(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, each text after two beginning marks; their texts; and where texts begin."""
+    n = np.array([len(w) for w in lists], np.int64)
+    starts = np.cumsum(n + 2) - n - 2
+    ids = np.full(int((n + 2).sum()), _BEGIN, np.int64)
+    own = np.ones(len(ids), bool)
+    own[starts] = own[starts + 1] = False
+    ids[own] = _hashes(list(chain.from_iterable(lists)))
+    return ids, np.repeat(np.arange(len(lists)), n + 2), starts
+
+
 @dataclass
 class Model:
-    """Tables by n-gram key. ``p``: discounted part of the n-gram itself; ``g``: weight left for the lower order."""
-
-    vocabulary: dict[bytes, int]  # from 2; 0 is unknown, 1 the beginning
-    p1: np.ndarray
-    k2: np.ndarray
-    p2: np.ndarray
-    k3: np.ndarray
-    p3: np.ndarray
-    g1: np.ndarray  # by word number: of contexts of one word
-    g2: np.ndarray  # along k2: of contexts of two words
+    """``parts``: level (words of the n-gram), u, v, w, a (as the end of what is predicted), b (as its context)."""
+
+    parts: DataFrame
+    n_keys: int
     uniform: float
+    texts: DataFrame
 
-    def log_probability(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of every word; ``starts`` are the places where texts begin, each after two beginning marks."""
-        n = len(ids)
-        before, first = np.ones(n, np.int64), np.ones(n, np.int64)
-        before[1:], first[2:] = ids[:-1], ids[:-2]
-        before[starts] = first[starts] = 1
-        after = starts[starts + 1 < n] + 1
-        first[np.setdiff1d(after, starts)] = 1
-        p = self.p1[ids] + self.uniform
-        two = (before << _BITS) | ids
-        at, hit = _find(self.k2, two)
-        p = np.where(hit, self.p2[at], 0) + self.g1[before] * p
-        context, known = _find(self.k2, (first << _BITS) | before)
-        left = np.where(known, self.g2[context], 1.0)
-        at, hit = _find(self.k3, (first << 2 * _BITS) | two)
-        return np.log(np.where(hit, self.p3[at], 0) + left * p)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return at, keys[at] == wanted
+    @property
+    def vocabulary(self) -> list[bytes]:
+        """The distinct words, gathered; for tests and small samples only."""
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column(0).to_pylist() for w in words(t or b"")}), pa.binary())], names=["w"])
+
+        return sorted(self.texts.mapInArrow(split, "w binary").distinct().toArrow().column(0).to_pylist())
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -91,102 +117,182 @@ def discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.1), k + 0.9) for k, d in enumerate(raw)]
 
 
-def _shared(counts: DataFrame, context: str, d: list[float]) -> tuple[DataFrame, DataFrame]:
-    """From counts (key, ``context``, c): key, p (discounted share of its context); and context, g (what is left)."""
-    cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    sums = counts.groupBy(context).agg(F.sum("c").alias("total"), F.sum(F.least(cut, F.col("c"))).alias("cut"))
-    p = counts.join(sums, context).select("key", (F.greatest(F.col("c") - cut, F.lit(0.0)) / F.col("total")).cast("double").alias("p"))
-    return p, sums.select(F.col(context).alias("context"), (F.col("cut") / F.col("total")).cast("double").alias("g"))
+def _left(counts: DataFrame, context: list[str], d: list[float]) -> tuple[DataFrame, DataFrame]:
+    """From counts with c: p, the discounted count; and by ``context`` total and g, the weight left for the lower order."""
+    cut = F.least(F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2]), F.col("c"))
+    sums = counts.groupBy(*context).agg(F.sum("c").alias("total"), (F.sum(cut) / F.sum("c")).alias("g"))
+    return counts.withColumn("p", F.col("c") - cut), sums
 
 
 def train(texts: DataFrame, scratch: Scratch) -> Model:
-    """A model of the column ``text`` of a bounded sample."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([words(t or b"") for t in batch.column(0).to_pylist()], pa.list_(pa.binary()))], names=["w"])
-
-    lists = scratch.table(bounded_batches(texts).select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(split, "w array<binary>"), "words")
-    distinct = sorted(lists.select(F.explode("w").alias("w")).distinct().toArrow().column(0).to_pylist())
-    if len(distinct) >= (1 << _BITS) - 2:
-        raise ValueError("the sample has too many distinct words for its keys; lower train_docs")
-    vocabulary = {w: i + 2 for i, w in enumerate(distinct)}
+    """A model of the column ``text``."""
+    texts = bounded_batches(texts).select(F.col("text").cast("string").cast("binary").alias("text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for w in batch.column(0).to_pylist():
-                ids = np.array([1, 1, *(vocabulary[x] for x in w)], np.int64)
-                out.append((ids[:-2] << 2 * _BITS) | (ids[1:-1] << _BITS) | ids[2:])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], names=["key"])
-
-    mask = (1 << 2 * _BITS) - 1
-    c3 = scratch.table(lists.mapInArrow(grams, "key long").groupBy("key").agg(F.count("*").alias("c")).withColumn("context", F.shiftright("key", _BITS)), "c3")
-    c2 = scratch.table(c3.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.count("*").alias("c")).withColumn("context", F.shiftright("key", _BITS)), "c2")
-    c1 = c2.groupBy(F.col("key").bitwiseAND((1 << _BITS) - 1).alias("key")).agg(F.count("*").alias("c")).withColumn("context", F.lit(0))
-    (p3, g3), (p2, g2), (p1, g1) = (_shared(c, "context", discounts(c)) for c in (c3, c2, c1))
-
-    def pull(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = (np.asarray(c.to_numpy()) for c in df.toArrow().columns)
-        order = np.argsort(keys)
-        return keys[order], values[order]
-
-    (k3, v3), (k2, v2), (k1, v1) = pull(p3), pull(p2), pull(p1)
-    if not len(k1):  # nothing to learn from
-        k3, v3, k2, v2 = np.full(1, -1), np.zeros(1), np.full(1, -1), np.zeros(1)
-    by_one, by_two = pull(g2), pull(g3)
-    size = len(distinct) + 2
-    unigram, left1, left2 = np.zeros(size), np.ones(size), np.ones(max(1, len(k2)))
-    unigram[k1] = v1
-    left1[by_one[0]] = by_one[1]
-    at, hit = _find(k2, by_two[0])
-    left2[at[hit]] = by_two[1][hit]
-    uniform = (pull(g1)[1][0] if len(k1) else 1.0) / (size - 1)  # every word and the unknown one
-    # contexts that were only seen as contexts (beginnings) have no bigram of their own
-    extra = by_two[0][~hit]
-    if len(extra):
-        keys = np.concatenate([k2, extra])
-        order = np.argsort(keys)
-        v2, left2, k2 = np.concatenate([v2, np.zeros(len(extra))])[order], np.concatenate([left2[: len(k2)], by_two[1][~hit]])[order], keys[order]
-    model = Model(vocabulary, unigram.astype(np.float32), k2, v2.astype(np.float32), k3, v3.astype(np.float32), left1.astype(np.float32), left2.astype(np.float32), uniform)
-    if 12 * (len(k2) + len(k3)) + 100 * size > MODEL_BYTES:
-        raise ValueError("the model is too large to be sent to every task; lower train_docs")
-    return model
+            lists = [w for t in batch.column(0).to_pylist() if (w := words(t or b""))]
+            ids, _, starts = _marked(lists)
+            ends = np.ones(len(ids), bool)
+            ends[starts] = ends[starts + 1] = False
+            at = np.flatnonzero(ends)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at - 2]), pa.array(ids[at - 1]), pa.array(ids[at])], names=["u", "v", "w"])
+
+    c3 = scratch.table(texts.mapInArrow(grams, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count("*").alias("c")), "c3")
+    c2 = scratch.table(c3.groupBy("v", "w").agg(F.count("*").alias("c")), "c2")
+    c1 = scratch.table(c2.groupBy("w").agg(F.count("*").alias("c")), "c1")
+    n1 = c1.count()
+    (r3, s3), (r2, s2), (r1, s1) = (_left(c, by, discounts(c)) for c, by in ((c3, ["u", "v"]), (c2, ["v"]), (c1, [])))
+    top = s1.first()
+    uniform = (top.g if n1 else 1.0) / (n1 + 1)  # every word and the unknown one
+    p1 = r1.select("w", (F.col("p") / F.lit(top.total or 1) + F.lit(uniform)).alias("p1"))
+    low2 = r2.join(s2, "v").join(p1, "w").select("v", "w", (F.col("p") / F.col("total")).alias("own"), (F.col("g") * F.col("p1")).alias("low"))
+    p2 = scratch.table(low2.select("v", "w", (F.col("own") + F.col("low")).alias("p2"), F.log1p(F.col("own") / F.col("low")).alias("d2")), "p2")
+    d3 = r3.join(s3, ["u", "v"]).join(p2, ["v", "w"]).select("u", "v", "w", F.log1p(F.col("p") / F.col("total") / (F.col("g") * F.col("p2"))).alias("d3"))
+    none, zero = F.lit(0).cast("long"), F.lit(0.0)
+
+    def parts(df: DataFrame, level: int, u, v, w, a, b) -> DataFrame:
+        return df.select(F.lit(level).alias("level"), u.alias("u"), v.alias("v"), w.alias("w"), a.cast("float").alias("a"), b.cast("float").alias("b"))
+
+    u, v, w = F.col("u"), F.col("v"), F.col("w")
+    every = parts(d3, 3, u, v, w, F.col("d3"), zero)
+    every = every.union(parts(p2, 2, none, v, w, F.col("d2"), zero)).union(parts(s3, 2, none, u, v, zero, F.log("g")))
+    every = every.union(parts(p1, 1, none, none, w, F.log(F.col("p1") / F.lit(uniform)), zero)).union(parts(s2, 1, none, none, v, zero, F.log("g")))
+    return Model(every, c3.count() + c2.count() + n1, uniform, texts)
+
+
+_ROWS = "shard int, kind int, block long, docs binary, counts binary, keys binary, a binary, b binary, ids array<long>, langs array<string>, n_words array<long>"
+_SUMS = "block long, shard int, sums binary, ids array<long>, langs array<string>, n_words array<long>"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "string": pa.string(), "double": pa.float64()}
+
+
+def _batch(rows: list[dict], ddl: str) -> pa.RecordBatch:
+    fields = [x.split(" ") for x in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _TYPES[t]) for n, t in fields], names=[n for n, _ in fields])
+
+
+def _cut(size: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of texts with about ``BLOCK_WORDS`` words and at most ``BLOCK_DOCS`` texts."""
+    out, a, total = [], 0, 0
+    for i, n in enumerate(size):
+        if i > a and (total + n > BLOCK_WORDS or i - a >= BLOCK_DOCS):
+            out.append((a, i))
+            a, total = i, 0
+        total += n
+    return [*out, (a, len(size))] if len(size) else out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_words, nll (negative log probability of all words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shards, uniform = max(LEAST_SHARDS, model.n_keys // SHARD_KEYS), float(np.log(model.uniform))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        known = model.vocabulary.get
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            level, u, v, w, a, b = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)
+            key = np.where(level == 3, _key(u, v, w), np.where(level == 2, _key(v, w), _key(w)))
+            order = np.argsort(key)
+            key, a, b = key[order], a[order], b[order]
+            shard = _shard(key, shards)
+            cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+            ends = [*cuts[1:], len(key)]
+            yield _batch([{"shard": int(shard[i]), "kind": 0, "keys": key[i:j].tobytes(), "a": a[i:j].tobytes(), "b": b[i:j].tobytes()} for i, j in zip(cuts, ends, strict=True)], _ROWS)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             split = [words(t or b"") for t in batch.column(2).to_pylist()]
-            count = np.array([len(w) for w in split], np.int64)
-            nll = np.zeros(len(split))
-            for a in range(0, len(split), 256):
-                n = count[a : a + 256]
-                ids = np.fromiter((known(w, 0) for w in chain.from_iterable(split[a : a + 256])), np.int64, int(n.sum()))
-                some = np.flatnonzero(n)
-                starts = (np.cumsum(n) - n)[some]
-                if len(ids):
-                    nll[a + some] = -np.add.reduceat(model.log_probability(ids, starts), starts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count), pa.array(np.round(nll, 6))], names=["doc_id", "lang", "n_words", "nll"])
+            for i, j in _cut(np.array([len(w) for w in split])):
+                lists = split[i:j]
+                meta = {"shard": block % shards, "kind": 1, "block": block, "ids": batch.column(0)[i:j].to_pylist(), "langs": batch.column(1)[i:j].to_pylist(), "n_words": [len(w) for w in lists]}
+                yield _batch([meta, *({"kind": 1, "block": block, **r} for r in asked(lists))], _ROWS)
+                block += 1
+
+    def asked(lists: list[list[bytes]]) -> Iterator[dict]:
+        """By shard: the distinct keys of the texts' n-grams, how often each occurs, and where (2 * text, + 1 for a
+        text's last word or pair, which is no context)."""
+        ids, doc, starts = _marked(lists)
+        some = np.array([len(w) > 0 for w in lists], bool)
+        keep = some[doc]
+        last = np.zeros(len(ids), np.int64)
+        last[np.append(starts[1:], len(ids)) - 1] = 1
+        second, third = keep.copy(), keep.copy()
+        second[starts] = third[starts] = third[starts + 1] = False
+        one = np.flatnonzero(second)  # the second mark and the words
+        three = np.flatnonzero(third)
+        key = np.concatenate([_key(ids[one]), _key(ids[one - 1], ids[one]), _key(ids[three - 2], ids[three - 1], ids[three])])
+        where = np.concatenate([2 * doc[one] + last[one], 2 * doc[one] + last[one], 2 * doc[three]]).astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        key, where = key[order], where[order]
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+        counts, key = np.diff(first, append=len(key)).astype(np.uint32), key[first]
+        shard = _shard(key, shards)
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+        for i, j in zip(cuts, [*cuts[1:], len(key)], strict=True):
+            a, b = first[i], first[j] if j < len(key) else len(where)
+            yield {"shard": int(shard[i]), "keys": key[i:j].tobytes(), "counts": counts[i:j].tobytes(), "docs": where[a:b].tobytes()}
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, made = None, [], None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["shard"] != at:
+                    at, parts, made = r["shard"], [], None
+                if r["kind"] == 0:
+                    parts.append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["a"], np.float32), np.frombuffer(r["b"], np.float32)))
+                    continue
+                if r["keys"] is None:
+                    out.append(r)
+                    continue
+                if made is None:
+                    made, parts = _table(parts), []
+                known, a, b = made
+                keys, where = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["docs"], np.uint16)
+                place = np.searchsorted(known, keys)
+                place[known[place] != keys] = len(known) - 1  # nothing
+                place = np.repeat(place, np.frombuffer(r["counts"], np.uint32))
+                sums = np.bincount(where >> 1, weights=a[place] + b[place] * (1 - (where & 1).astype(np.int64)))
+                out.append({"block": r["block"], "shard": at, "sums": sums.tobytes()})
+            if out:
+                yield _batch(out, _SUMS)
+
+    def total(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["shard"])
+        meta = next(r for r in rows if r["ids"] is not None)
+        n = np.array(meta["n_words"], np.int64)
+        logs = n * uniform
+        for r in rows:
+            if r["sums"] is not None:
+                sums = np.frombuffer(r["sums"], np.float64)
+                logs[: len(sums)] += sums
+        return pa.table({"doc_id": pa.array(meta["ids"], pa.int64()), "lang": pa.array(meta["langs"], pa.string()), "n_words": n, "nll": np.round(0.0 - logs, 6)})
 
     given = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string").cast("binary"))
-    return given.mapInArrow(run, "doc_id long, lang string, n_words long, nll double")
+    rows = model.parts.mapInArrow(tables, _ROWS).union(given.mapInArrow(blocks, _ROWS))
+    summed = rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(look_up, _SUMS)
+    return summed.groupBy("block").applyInArrow(total, "doc_id long, lang string, n_words long, nll double")
+
+
+def _table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their parts; the last one stands for no key and has none."""
+    end = np.full(1, np.iinfo(np.uint64).max, np.uint64)
+    key = np.concatenate([*(k for k, _, _ in parts), end])
+    keys, at = np.unique(key, return_inverse=True)
+    a, b = (np.bincount(at, weights=np.concatenate([*(p[i] for p in parts), np.zeros(1)]), minlength=len(keys)) for i in (1, 2))
+    return keys, a, b
 
 
-def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, quantile: float = QUANTILE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, train_docs: int | None = None, train_chars: int | None = None, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, kept of every document."""
     scratch = Scratch(docs.sparkSession)
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    total = good.count()
-    share = int(min(500_000, 1_000_000 * train_docs / max(1, total)))  # half of the trusted documents at most
+    share = TRAIN_SHARE
+    if train_docs is not None:
+        share = int(min(share, 1_000_000 * train_docs / max(1, good.count())))
     chosen = good.filter(part < share)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter((part < share) & (F.length("text") <= train_chars)).join(chosen, "doc_id", "left_semi")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(part < share).join(chosen, "doc_id", "left_semi")
+    if train_chars is not None:
+        sample = sample.filter(F.length("text") <= train_chars)
     model = train(sample.select("text"), scratch)
     scored = scratch.table(score(docs, model), "scored")
     lang = F.coalesce("lang", F.lit("")).alias("lang_key")
@@ -206,7 +312,7 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, t
     every = ends.filter("lang_key IS NULL").select(F.col("threshold").alias("all_threshold"))
     out = smoothed(scored.withColumn("lang_key", lang)).join(ends.filter("lang_key IS NOT NULL"), "lang_key", "left").join(F.broadcast(every), F.lit(True), "left")
     out = out.withColumn("threshold", F.coalesce("threshold", "all_threshold", F.lit(float("inf"))))
-    scratch.drop("words", "c3", "c2")
+    scratch.drop("c3", "c2", "c1", "p2")
     return out.select("doc_id", "lang", "n_words", "perplexity", "threshold", ((F.col("n_words") > 0) & (F.col("perplexity") <= F.col("threshold"))).alias("kept"))
 
 

@@ -71,3 +71,15 @@ def test_edges(spark, edge_docs, no_docs):
     alone = Q.classify(edge_docs, labels.limit(0)).collect()
     assert all(r.kept == (r.n_words > 0) for r in alone)
     assert np.isfinite([r.perplexity for r in alone if r.n_words]).all()
+
+
+def test_trains_on_half_of_the_trusted_texts_whole(spark, monkeypatch):
+    """At any number of documents and any length: no count of trained documents that stays the same."""
+    taken, train = [], Q.train
+    monkeypatch.setattr(Q, "train", lambda texts, scratch: taken.append(texts.selectExpr("count(*)", "max(length(text))").first()) or train(texts, scratch))
+    n = 14_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('word ', id, if(id % 10 = 0, repeat(' long text', 2500), '')) AS text", "'en' AS lang")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    rows = Q.classify(docs, labels)
+    assert 0.48 * n < taken[0][0] < 0.52 * n and taken[0][1] > 25_000
+    assert rows.count() == n
