@@ -10,8 +10,11 @@ scratch folder; a second pass verifies those of the few documents that have any.
 broadcast while their measured size is at most ``broadcast_bytes``, so that documents are not shuffled; beyond that
 Spark joins by shuffling.
 
-Tokens are runs of letters and digits, lower-cased. Items shorter than a mask are looked for as a whole, without
-gaps, by a mask of their own length.
+No diagonal that verification would accept is missed: a window may disagree in ``e`` of its tokens, so of ``e`` + 2
+blocks of it two agree throughout, and there is a mask for every pair of blocks (less those that another one implies).
+Items shorter than a window have masks for their own length.
+
+Tokens are runs of letters and digits, lower-cased.
 
 Edge cases: null or empty texts have no tokens and match nothing; a null doc_id is reported as null; rows with one
 doc_id are reported together; an item without tokens or with a null id matches nothing or is reported as null;
@@ -20,26 +23,48 @@ empty tables give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, Decimal
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_up_to, let, table, without_ids
 
-#: Positions that each mask looks at.
+#: Positions that each mask of the query's SQL looks at; the operator has those of ``seeds``.
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 6, 8, 9), (0, 1, 2, 5, 7, 9))
 WINDOW, LEAST = 13, 0.8
 BROADCAST_BYTES = 32 << 20
 TOKENS = "filter(split(lower(coalesce(text, '')), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '')"
 
 
-def _hashed(rows: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> DataFrame:
+def seeds(width: int, least: float = LEAST) -> list[tuple[int, ...]]:
+    """Masks, each from position 0, one of which agrees wherever ``least`` of a window of ``width`` tokens does."""
+    need = max(1, int((Decimal(str(least)) * width).to_integral_value(ROUND_CEILING)))
+    if need < 2:
+        return [(0,)]
+    n = width - need + 2
+    ends = [width * k // n for k in range(n + 1)]
+    pairs = [(*range(ends[a], ends[a + 1]), *range(ends[b], ends[b + 1])) for a, b in combinations(range(n), 2)]
+    found: list[tuple[int, ...]] = []
+    for m in sorted({tuple(x - p[0] for x in p) for p in pairs}, key=lambda m: (len(m), m)):
+        if not any({x + s for x in f} <= set(m) for f in found for s in m):
+            found.append(m)
+    return found
+
+
+def _hashed(rows: DataFrame, masks: dict[tuple[int, ...], list[int]], keep: list[str], width: str | None = None) -> DataFrame:
     """A row for each position and mask: ``keep``, at (from 0), h. Only ``keep`` is carried along with the tokens
-    that the masks look at, never a text's array of tokens. Places without a token have no hash."""
-    span = max(m[-1] for m in masks) + 1
-    shifted = ", ".join(["sequence(0, size(tokens) - 1)", *(f"slice(tokens, {k + 1}, greatest(size(tokens) - {k}, 0))" for k in range(span))])
-    names = ["at", *(f"w{k}" for k in range(span))]
-    one = rows.select(*keep, F.expr(f"inline(arrays_zip({shifted}))").alias(*names))
-    hashes = ", ".join(f"if(w{m[-1]} IS NULL, NULL, xxhash64({i}, {', '.join(f'w{k}' for k in m)}))" for i, m in enumerate(masks))
+    that the masks look at (hashed, so that they are short), never a text's array of tokens. Places without a token
+    have no hash. With ``width``, a column, a row has only the masks of its own width."""
+    looked = sorted({k for m in masks for k in m})
+    shifted = ", ".join(["sequence(0, size(tokens) - 1)", *(f"slice(tokens, {k + 1}, greatest(size(tokens) - {k}, 0))" for k in looked)])
+    names = ["at", *(f"w{k}" for k in looked)]
+    given = [*keep, width] if width else keep
+    hashed = rows.select(*given, F.expr("transform(tokens, w -> xxhash64(w))").alias("tokens"))
+    one = hashed.select(*given, F.expr(f"inline(arrays_zip({shifted}))").alias(*names))
+    own = lambda widths: f" OR {width} NOT IN ({', '.join(map(str, widths))})" if width else ""
+    hashes = ", ".join(f"if(w{m[-1]} IS NULL{own(widths)}, NULL, xxhash64({i}, {', '.join(f'w{k}' for k in m)}))" for i, (m, widths) in enumerate(masks.items()))
     return one.select(*keep, F.col("at").cast("long").alias("at"), F.explode(F.expr(f"array({hashes})")).alias("h")).filter("h IS NOT NULL")
 
 
@@ -48,13 +73,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     item's tokens), doc_start (the token of the document beside the item's first; negative if cut off), for the best
     diagonal of each document and item that overlap."""
     scratch = Scratch(docs.sparkSession)
-    span = max(m[-1] for m in MASKS) + 1
     items = benchmark.select("item_id", F.expr(TOKENS).alias("tokens")).filter("size(tokens) > 0").withColumn("item_key", F.xxhash64("tokens")).distinct()
     sizes = items.select(F.size("tokens").alias("n"), F.octet_length(F.concat_ws(" ", "tokens")).alias("b"))
-    short = sorted(r.n for r in sizes.filter(F.col("n") < span).select("n").distinct().collect())  # fewer than span values
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
+    masks: dict[tuple[int, ...], list[int]] = {}  # and the widths of windows that each is for
+    for (width,) in sorted(sizes.select(F.least("n", F.lit(window))).distinct().collect()):
+        for m in seeds(width, least):
+            masks.setdefault(m, []).append(width)
+    masks = masks or {(0,): [1]}
     n_tokens, n_bytes = (x or 0 for x in sizes.agg(F.sum("n"), F.sum("b")).first())
-    wanted = _hashed(items, masks, ["item_id", "item_key"]).withColumnRenamed("at", "item_at").distinct()
+    wanted = _hashed(items.withColumn("width", F.least(F.size("tokens"), F.lit(window))), masks, ["item_id", "item_key"], "width").withColumnRenamed("at", "item_at").distinct()
     rows = docs.select("doc_id", F.expr(TOKENS).alias("tokens"))
     hits = _hashed(rows, masks, ["doc_id"]).join(broadcast_up_to(wanted, 48 * n_tokens * len(masks), broadcast_bytes), "h")
     hits = hits.select("doc_id", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("start")).distinct()

@@ -1,3 +1,7 @@
+import math
+import random
+from itertools import combinations
+
 import duckdb
 import pytest
 
@@ -68,3 +72,37 @@ def test_edges(spark, edge_docs, no_docs, items):
     assert {6, 7, 8, 15}.isdisjoint({r.doc_id for r in left.collect()})
     assert D.find_overlaps(no_docs, items).count() == 0
     assert D.find_overlaps(edge_docs, items.limit(0)).count() == 0
+
+
+def brute(docs, items):
+    """{(doc_id, item_id): best, matched, -start} over all diagonals, by the rule of verification alone."""
+    found = {}
+    for d, t in docs:
+        for i, it in items:
+            n = min(D.WINDOW, len(it))
+            for s in range(1 - len(it), len(t)):
+                f = [int(0 <= s + k < len(t) and t[s + k] == w) for k, w in enumerate(it)]
+                best = max(sum(f[k : k + n]) for k in range(len(f) - n + 1))
+                if best >= math.ceil(D.LEAST * n):
+                    found[d, i] = max(found.get((d, i), ()), (best, sum(f), -s))
+    return found
+
+
+@pytest.mark.parametrize("sizes", [(10, 11, 12, 13, 15), (9,), (5,), (1, 2, 3, 4, 6, 7, 8, 14)])
+def test_misses_no_diagonal(spark, sizes):
+    """Every accepted pattern of substitutions, also cut off by a text's ends. Short items' masks find those of others
+    too, so sizes are tested apart."""
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in sizes]
+    texts = []
+    for n, it in items:
+        wide = min(n, D.WINDOW)
+        for places in combinations(range(wide), wide - math.ceil(D.LEAST * wide)):
+            for shift in {0, n - wide}:
+                window = [f"other{k}" if k in places else w for k, w in enumerate(it[shift : shift + wide])]
+                texts += [["lead", "in", *window, "and", "out"], window[2 if places == (0, 1) else 0 :]]
+    r = random.Random(3)
+    texts += [[w if r.random() > 0.2 else "other" for w in [*r.choice(items)[1], *r.choice(items)[1]]] for _ in range(100)]
+    docs = list(enumerate(texts))
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(t)) for k, t in rows], f"{key} long, text string")
+    rows = D.find_overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id): (r.best, r.matched, -r.doc_start) for r in rows} == brute(docs, items)
