@@ -83,3 +83,15 @@ def test_trains_on_half_of_the_trusted_texts_whole(spark, monkeypatch):
     rows = Q.classify(docs, labels)
     assert 0.48 * n < taken[0][0] < 0.52 * n and taken[0][1] > 25_000
     assert rows.count() == n
+
+
+def test_tables_stay_in_shards(spark, monkeypatch):
+    """No bound on the tables' size, and the scores do not depend on how keys and texts are dealt."""
+    monkeypatch.setattr(Q, "MODEL_BYTES", 0, raising=False)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*TRAIN, "", None, "a fish on the log"])], "doc_id long, text string, lang string")
+    model = Q.train(docs.limit(4), Scratch(spark))
+    found = sorted(map(tuple, Q.score(docs, model).collect()))
+    for name, value in (("LEAST_SHARDS", 3), ("SHARD_KEYS", 5), ("BLOCK_WORDS", 4), ("BLOCK_DOCS", 2)):
+        monkeypatch.setattr(Q, name, value)
+    again = sorted(map(tuple, Q.score(docs, model).collect()))
+    assert [r[:3] for r in again] == [r[:3] for r in found] and np.allclose([r[3] for r in again], [r[3] for r in found], atol=1e-5)
