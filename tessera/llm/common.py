@@ -33,28 +33,42 @@ def let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables that cut lineage, in the folder that all executors share.
 
     The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (a local session, as in
     tests) a temporary folder stands in. A written table survives lost executors and is read back in columns.
+
+    A table's shuffle files go as soon as it is written. The whole folder goes when the driver ends, as results are
+    read lazily; ``drop`` takes tables away before.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not conf:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master.partition("[")[0] != "local":
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
             conf = f"{tempfile.gettempdir()}/checkpoints"
         self.root = f"{conf.rstrip('/')}/tessera-{uuid.uuid4().hex}"
         self._made: dict[str, str] = {}
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files.mkdirs(path)
+        self._files.deleteOnExit(path)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns it as read back."""
         self._made[name] = path = f"{self.root}/{name}-{len(self._made)}"
-        schema = df.schema
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        schema, before = df.schema, self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(schema).parquet(path)
 
     @property
@@ -63,10 +77,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more; without names, all of them."""
-        jvm = self.spark._jvm
         for name in names or list(self._made):
-            path = jvm.org.apache.hadoop.fs.Path(self._made.pop(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._made.pop(name)), True)
 
 
 def bounded_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
