@@ -5,8 +5,10 @@ binds them: rotate(first, 2) * rotate(second, 1) * third. A document bundles (su
 language's prototype those of its training documents, each document weighted by 1 over its number of trigrams.
 The prediction is the prototype with the largest cosine.
 
-Counting comes before binding: a batch's trigram counts (documents by distinct trigrams) times the vectors of
-those trigrams give its document vectors in one product. Prototypes are summed on the executors, so the driver gets
+Counting comes before binding: a chunk's trigram counts (documents by distinct trigrams) times the vectors of
+those trigrams give its document vectors in one product. Where that table would be large, as with thousands of letters
+or of short texts, occurrences are bound and summed in blocks instead, so a chunk's memory is bounded whatever it
+holds. Prototypes are summed on the executors, so the driver gets
 ``dim`` numbers per language and partition at most; languages are a closed set (about 8,000 codes in ISO 639-3).
 
 Letters are Unicode letters after lower-casing; every run of other characters is one boundary symbol.
@@ -19,7 +21,7 @@ table gives an empty result; texts of any length are taken in pieces cut at whit
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,8 @@ from .common import bounded_batches, table, utf8
 
 DIM = 1024
 UNDETERMINED = "und"
-_CHUNK = 750_000  # characters taken at once; bounds memory, not results
+_CHUNK, _PIECES = 750_000, 2048  # characters and texts taken at once; bound memory, not results
+_CELLS, _GRAMS, _BLOCK = 8_000_000, 16_000, 8192  # of a table of counts; occurrences bound at once
 
 
 @cache
@@ -38,7 +41,7 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-@cache
+@lru_cache(65_536)
 def letter_vector(code: int, dim: int) -> np.ndarray:
     """+1/-1 entries from a generator seeded with the code point."""
     return np.random.Generator(np.random.PCG64([code, dim])).integers(0, 2, dim, dtype=np.int8) * np.int8(2) - np.int8(1)
@@ -81,11 +84,31 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return alphabet, doc[middle], gram, np.stack([distinct // (a * a), distinct // a % a, distinct % a], 1)
 
 
-def gram_vectors(alphabet: np.ndarray, grams: np.ndarray, dim: int) -> np.ndarray:
+def bundle(group: np.ndarray, gram: np.ndarray, weight: np.ndarray | None, groups: int, alphabet: np.ndarray, grams: np.ndarray, dim: int) -> np.ndarray:
+    """The sum of the (weighted) vectors of each group's trigrams, from their occurrences (group, gram)."""
+    if not len(gram):
+        return np.zeros((groups, dim), np.float32)
     letters = np.stack([letter_vector(int(c), dim) for c in alphabet])
-    bound = np.roll(letters, 2, 1)[grams[:, 0]] * np.roll(letters, 1, 1)[grams[:, 1]]
-    bound *= letters[grams[:, 2]]
-    return bound.astype(np.float32)
+    first, second = np.roll(letters, 2, 1), np.roll(letters, 1, 1)
+
+    def bound(g: np.ndarray) -> np.ndarray:
+        v = first[g[:, 0]]
+        v *= second[g[:, 1]]
+        v *= letters[g[:, 2]]
+        return v.astype(np.float32)
+
+    if groups * len(grams) <= _CELLS and len(grams) <= _GRAMS:
+        return np.bincount(group * len(grams) + gram, weight, groups * len(grams)).reshape(groups, -1).astype(np.float32) @ bound(grams)
+    out = np.zeros((groups, dim), np.float32)
+    order = np.argsort(group, kind="stable")
+    for i in range(0, len(order), _BLOCK):
+        part = order[i : i + _BLOCK]
+        v, own = bound(grams[gram[part]]), group[part]
+        w = np.ones(len(part), np.float32) if weight is None else weight[part].astype(np.float32)
+        cuts = np.flatnonzero(np.diff(own, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            out[own[a]] += w[a:b] @ v[a:b]
+    return out
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
@@ -100,7 +123,7 @@ def _chunks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
             pieces.append(text[:cut])
             n += cut
             text = text[cut:]
-            if n >= _CHUNK:
+            if n >= _CHUNK or len(pieces) >= _PIECES:
                 yield numbers, pieces
                 numbers, pieces, n = [], [], 0
     if pieces:
@@ -112,9 +135,7 @@ def document_vectors(texts: list[str], dim: int) -> tuple[np.ndarray, np.ndarray
     vectors, total = np.zeros((len(texts), dim), np.float32), np.zeros(len(texts), np.int64)
     for numbers, pieces in _chunks(texts):
         alphabet, doc, gram, grams = trigrams(pieces)
-        counts = np.bincount(doc * len(grams) + gram, minlength=len(pieces) * len(grams)).reshape(len(pieces), -1).astype(np.float32)
-        found = counts @ gram_vectors(alphabet, grams, dim) if len(grams) else np.zeros((len(pieces), dim), np.float32)
-        np.add.at(vectors, numbers, found)
+        np.add.at(vectors, numbers, bundle(doc, gram, None, len(pieces), alphabet, grams, dim))
         np.add.at(total, numbers, np.bincount(doc, minlength=len(pieces)))
     return vectors, total
 
@@ -135,8 +156,7 @@ def train(docs: DataFrame, training: Column, dim: int = DIM) -> dict[str, np.nda
                     continue
                 lang = np.array([place[langs[i]] for i in numbers])[doc]
                 weight = 1 / np.bincount(doc, minlength=len(pieces))[doc]
-                counts = np.bincount(lang * len(grams) + gram, weight, len(names) * len(grams)).reshape(len(names), -1)
-                found = counts.astype(np.float32) @ gram_vectors(alphabet, grams, dim)
+                found = bundle(lang, gram, weight, len(names), alphabet, grams, dim)
                 for x in set(lang.tolist()):
                     sums[names[x]] = sums.get(names[x], 0) + found[x].astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -52,3 +53,59 @@ def test_edges(edge_docs, no_docs):
         assert (found[i].lang_pred, found[i].score) == ("und", 0)
     assert L.predict(no_docs, prototypes).count() == 0
     assert {r.lang_pred for r in L.predict(edge_docs, L.train(no_docs, F.lit(True))).collect()} == {"und"}
+
+
+def texts_of_many_letters():
+    rng = np.random.default_rng(5)
+    return ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 500))) for _ in range(1500)]
+
+
+def test_memory_is_bounded():
+    """A table of the counts of 1,500 such texts would take 8 GB."""
+    for texts in (texts_of_many_letters(), ["ab c"[: 2 + i % 3] + chr(97 + i % 26) for i in range(20_000)]):
+        L.document_vectors(texts[:1], L.DIM)
+        tracemalloc.start()
+        L.document_vectors(texts, L.DIM)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 350e6  # vectors of 20,000 texts take 82 MB of it
+
+
+def test_both_ways_of_bundling_agree(monkeypatch):
+    texts = [*texts_of_many_letters()[:20], "ab cd", "", "one two three four"]
+    whole, n = L.document_vectors(texts, 64)
+    monkeypatch.setattr(L, "_CELLS", 0)
+    monkeypatch.setattr(L, "_BLOCK", 77)
+    cut, m = L.document_vectors(texts, 64)
+    assert np.array_equal(whole, cut) and np.array_equal(n, m)
+
+
+def test_prediction_is_that_of_a_plain_version(spark, sample):
+    """Vectors summed trigram by trigram, prototypes document by document."""
+    dim = 256
+
+    def vector(text):
+        s = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        s = " ".join(["", *s.split(), ""])
+        out, n = np.zeros(dim), 0
+        v = lambda c: L.letter_vector(0 if c == " " else ord(c), dim).astype(int)
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            if b != " ":
+                out += np.roll(v(a), 2) * np.roll(v(b), 1) * v(c)
+                n += 1
+        return out, n
+
+    rows = [r for r in sample.collect() if r.text and len(r.text) < 4000][:60]
+    vectors = {r.doc_id: vector(r.text) for r in rows}
+    sums: dict = {}
+    for r in rows:
+        if r.lang and r.doc_id % 3 and vectors[r.doc_id][1]:
+            sums[r.lang] = sums.get(r.lang, 0) + vectors[r.doc_id][0] / vectors[r.doc_id][1]
+    docs = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in L.predict(docs, L.train(docs, F.col("doc_id") % 3 != 0, dim), dim).collect()}
+    for r in rows:
+        v, n = vectors[r.doc_id]
+        if n:
+            cosine = {x: v @ s / np.linalg.norm(v) / np.linalg.norm(s) for x, s in sums.items()}
+            assert abs(got[r.doc_id].score - max(0, max(cosine.values()))) < 1e-4
+            assert cosine[got[r.doc_id].lang_pred] > max(cosine.values()) - 1e-5
