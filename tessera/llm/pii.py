@@ -37,7 +37,7 @@ from .common import bounded_batches, table, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-TRAIN_DOCS, THRESHOLD, ROUNDS, FEATURES = 4000, 0.9, 20, 512
+TRAIN_DOCS, TRAIN_CHARS, THRESHOLD, ROUNDS, FEATURES = 4000, 20_000, 0.9, 20, 512
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -249,11 +249,14 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def train_field(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    """A field from ``train_docs`` documents that hold a digit or an @: those with the smallest hash of the text,
-    at most 20,000 characters each (so at most 80 million characters reach the driver)."""
-    rows = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000)).select("text", F.xxhash64("text").alias("h"))
-    return Field.train([r.text for r in rows.orderBy("h", "text").limit(train_docs).select("text").collect()])
+def train_field(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Field:
+    """A field from about ``train_docs`` different texts that hold a digit or an @ and have at most ``train_chars``
+    characters: those with the smallest hash, as many as the number of such texts (estimated by a sketch) makes of
+    the range of hashes. Only these reach the driver."""
+    rows = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= train_chars)).select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    different = rows.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    chosen = rows.filter(F.col("h") < min(1 << 63, -(1 << 63) + (train_docs << 64) // max(1, different)) - 1).distinct()
+    return Field.train([t for _, t in sorted((r.h, r.text) for r in chosen.collect())][:train_docs])
 
 
 def find_pii(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
