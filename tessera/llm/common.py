@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +94,20 @@ def bounded_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     return df
 
 
+def released(run):
+    """``run`` over Arrow batches; at its end the worker, which Spark keeps for later tasks, gives free memory back."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # of glibc only
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def broadcast_up_to(df: DataFrame, size: int, most: int = 32 << 20) -> DataFrame:
     """``df`` marked for broadcast if its measured ``size`` in bytes is at most ``most``; else as it is, and Spark joins
     by shuffling."""

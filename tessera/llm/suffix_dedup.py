@@ -5,21 +5,24 @@ its anchor, the 32-byte string in it with the smallest hash (ties: the leftmost)
 equal offsets, so they share a bucket, and the windows of one anchor follow each other. So a bucket's entries are
 *contexts*: an anchor's place and the run of windows that it stands for.
 
-1. Every task turns texts into anchors (one in 185 bytes) with a hash of their context; these are packed, shuffled by
-   anchor and sorted. An anchor that occurs once has no repeated window. Equal contexts are counted instead of being
-   sorted twice: all their windows are repeated, and a group of copies is one entry. This needs no text.
+1. Every task turns texts into anchors (one in 185 bytes) with a hash of their context. Equal contexts are counted,
+   with partial counts before the shuffle, so a group of copies is a few rows: all their windows are repeated. An
+   anchor that occurs once has no repeated window. This needs no text.
 2. Where one anchor has several different contexts, one of each is fetched, and the bucket's suffix array decides.
    Contexts are laid out with their anchors at one residue modulo 31, and the suffixes that start at places in a
    difference cover modulo 31 are ranked first, by doubling (31, 62, ... 496 bytes). Suffixes of a bucket are then
    sorted by their offset, the few bytes up to the next cover place, and the rank there, which resolves long ties.
    Neighbours that agree in ``LENGTH`` bytes mark each other. Blocks of small buckets are sorted together. A bucket
    with very many different contexts (a common passage in different surroundings) is split first, by ranges of
-   offsets and the bytes that all windows of a range share; what is still large is sorted by ranges of offsets.
+   offsets and the bytes that all windows of a range share. Contexts of a part that is still too large for one task
+   are cut into single windows, counted by their hashes as rows, so no bucket has to fit into memory.
 3. Marked runs are gathered per document and cut out.
 
+Rows are told apart by doc_id and a hash of the text, so many rows without doc_id are as cheap as others.
+
 Edge cases: a null text is empty; texts shorter than ``LENGTH`` keep everything; a null doc_id is a document like any
 other; repeated rows repeat each other; an empty table gives an empty result; texts of any length are taken in
-overlapping segments; other columns are ignored.
+overlapping segments; other columns are ignored; a doc_id must be a whole number or a string of one.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, mix64, table
+from .common import Scratch, bounded_batches, mix64, released, table
 from .jaccard_join import _powers
 
 LENGTH, GRAM = 400, 32
@@ -41,12 +44,11 @@ PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
 SEGMENT = 400_000  # bytes taken at once; bounds memory, not results
 BLOCK = 400_000  # suffixes sorted at once
-#: Buckets with more different contexts than this are split, by ranges of so many offsets.
-SPLIT, RANGE = 256, 64
+#: Buckets with more different contexts than this are split, by ranges of so many offsets; and the most contexts of
+#: a part that is sorted in one task.
+SPLIT, RANGE, LARGE = 256, 64, 2048
 _U = np.uint64
 
-ANCHOR = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<i8"), ("lo", "<u2"), ("hi", "<u2"), ("null", "?")])
-
 
 def sums(data: np.ndarray) -> np.ndarray:
     """Running sums whose differences, times the inverse power of the start, are hashes of substrings."""
@@ -54,10 +56,6 @@ def sums(data: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, _U), np.cumsum(value[data] * powers[: len(data)], dtype=_U)])
 
 
-def text_key(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-
-
 def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Anchor place, first and last window, anchor hash and context hash, for texts laid end to end.
 
@@ -91,106 +89,49 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     return place, first, last, grams[place], context
 
 
-def _segments(ids: list, texts: list[bytes]) -> Iterator[list[tuple[int | None, int, int, bytes]]]:
-    """Groups of (doc_id, key, start, bytes): whole texts, or overlapping segments of long ones."""
+def _segments(ids: list, texts: list[bytes]) -> Iterator[list[tuple[object, int, bytes]]]:
+    """Groups of (id, start, bytes): whole texts, or overlapping segments of long ones."""
     held, n = [], 0
-    for doc_id, text in zip(ids, texts, strict=True):
+    for one, text in zip(ids, texts, strict=True):
         if len(text) < LENGTH:
             continue
-        key = text_key(text)
         for start in range(0, max(1, len(text) - LENGTH + 1), SEGMENT):
             part = text[start : start + SEGMENT + LENGTH - 1]
             if n + len(part) > SEGMENT + LENGTH and held:
                 yield held
                 held, n = [], 0
-            held.append((doc_id, key, start, part))
+            held.append((one, start, part))
             n += len(part)
     if held:
         yield held
 
 
-def anchor_records(docs: DataFrame, shards: int) -> DataFrame:
-    """shard, block: the packed anchors of all documents."""
+def anchor_records(docs: DataFrame) -> DataFrame:
+    """doc_id, k, h (of the anchor), c (of the context), at (the anchor's place), lo and hi (offsets of its windows)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks(held: list[np.ndarray]) -> pa.RecordBatch:
-            rows = np.concatenate(held) if held else np.zeros(0, ANCHOR)
-            shard = (rows["h"] % _U(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            rows, shard = rows[order], shard[order]
-            at = np.searchsorted(shard, np.arange(shards + 1))
-            full = [k for k in range(shards) if at[k + 1] > at[k]]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows[at[k] : at[k + 1]].tobytes() for k in full], pa.binary())], names=["shard", "block"])
-
-        held, n = [], 0
         for batch in batches:
-            for group in _segments(batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]):
-                data = np.frombuffer(b"".join(g[3] for g in group), np.uint8)
-                ends = np.cumsum([len(g[3]) for g in group])
-                place, first, last, h, c = anchors(data, ends)
-                doc = np.searchsorted(ends, place, side="right")
-                rows = np.zeros(len(place), ANCHOR)
-                rows["h"], rows["c"] = h, c
-                rows["doc"] = np.array([g[0] or 0 for g in group])[doc]
-                rows["null"] = np.array([g[0] is None for g in group])[doc]
-                rows["key"] = np.array([g[1] for g in group])[doc]
-                rows["at"] = place + (np.array([g[2] for g in group]) - ends + np.array([len(g[3]) for g in group]))[doc]
-                rows["lo"], rows["hi"] = place - last, place - first
-                held.append(rows)
-                n += len(rows)
-                if n > 200_000:
-                    yield blocks(held)
-                    held, n = [], 0
-        yield blocks(held)
-
-    return docs.mapInArrow(run, "shard int, block binary")
+            for group in _segments(range(batch.num_rows), batch.column(2).to_pylist()):
+                row, start, size = np.array([g[0] for g in group]), np.array([g[1] for g in group]), np.array([len(g[2]) for g in group])
+                ends = np.cumsum(size)
+                place, first, last, h, c = anchors(np.frombuffer(b"".join(g[2] for g in group), np.uint8), ends)
+                own = np.searchsorted(ends, place, side="right")
+                taken = pa.array(row[own])
+                numbers = (h.view(np.int64), c.view(np.int64), place + (start - ends + size)[own], (place - last).astype(np.int32), (place - first).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), *map(pa.array, numbers)], names=["doc_id", "k", "h", "c", "at", "lo", "hi"])
 
+    return docs.select("doc_id", "k", "bytes").mapInArrow(run, "doc_id long, k long, h long, c long, at long, lo int, hi int")
 
-FOUND = "doc_id long, key long, start long, stop long, bucket long, at long, lo int, hi int, kinds long"
 
-
-def _found(doc, null, key, start, stop, bucket=None, at=None, lo=None, hi=None, kinds=None) -> pa.RecordBatch:
-    none = lambda kind: pa.nulls(len(doc), kind)
-    columns = [
-        pa.array(doc, pa.int64(), mask=np.asarray(null, bool)), pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64()),
-        none(pa.int64()) if bucket is None else pa.array(bucket, pa.int64()), none(pa.int64()) if at is None else pa.array(at, pa.int64()),
-        none(pa.int32()) if lo is None else pa.array(lo, pa.int32()), none(pa.int32()) if hi is None else pa.array(hi, pa.int32()),
-        none(pa.int64()) if kinds is None else pa.array(kinds, pa.int64()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "start", "stop", "bucket", "at", "lo", "hi", "kinds"])
-
-
-def meet(records: DataFrame, shards: int) -> DataFrame:
-    """Rows without a bucket: repeated bytes start..stop. Rows with one: contexts that its suffix array must judge."""
-
-    def judge(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rows = np.frombuffer(b"".join(held), ANCHOR)
-        if not len(rows):
-            return
-        rows = rows[np.lexsort((rows["c"], rows["h"]))]
-        new_h = np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])
-        new_c = new_h | np.concatenate([[True], rows["c"][1:] != rows["c"][:-1]])
-        bucket, context = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-        copies = np.bincount(context)[context]
-        kinds = np.bincount(bucket[new_c])[bucket]
-        for i in range(0, len(rows), 100_000):
-            part, same, many = rows[i : i + 100_000], copies[i : i + 100_000] > 1, (kinds[i : i + 100_000] > 1) & new_c[i : i + 100_000]
-            x = part[same]
-            yield _found(x["doc"], x["null"], x["key"], x["at"] - x["hi"], x["at"] - x["lo"] + LENGTH)
-            x = part[many]
-            yield _found(x["doc"], x["null"], x["key"], x["at"] - x["hi"], x["at"] - x["lo"].astype(int) + LENGTH, x["h"].astype(np.int64), x["at"], x["lo"], x["hi"], kinds[i : i + 100_000][many])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-        for batch in batches:
-            for k, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if k != shard:
-                    yield from judge(held)
-                    shard, held = k, []
-                held.append(block)
-        yield from judge(held)
-
-    return records.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, FOUND)
+def meet(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Repeated runs doc_id, k, start, stop of contexts that occur again; and one of each of the contexts (doc_id, k,
+    bucket, at, lo, hi, kinds) whose anchor has ``kinds`` different ones, which a suffix array must judge."""
+    contexts = records.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "at", "lo", "hi")).alias("r"))
+    contexts = scratch.table(contexts, "contexts")
+    again = records.join(contexts.filter("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "k", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + LENGTH).alias("stop"))
+    kinds = contexts.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    return again.distinct(), contexts.join(kinds, "h").select("r.doc_id", "r.k", F.col("h").alias("bucket"), "r.at", "r.lo", "r.hi", "kinds")
 
 
 _STEP = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])  # to the next cover place
@@ -280,20 +221,22 @@ def bucket_marks(buckets: list[int], contexts: list[bytes], lo: list[int], hi: l
     return out
 
 
+MARKS = "doc_id long, k long, start long, stop long"
+
+
 def judge_buckets(contexts: DataFrame) -> DataFrame:
-    """Repeated bytes doc_id, key, start, stop of contexts (bucket, doc_id, key, start, lo, hi, bytes)."""
+    """Repeated bytes doc_id, k, start, stop of contexts (bucket, doc_id, k, start, lo, hi, bytes)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n = 0
 
         def emit() -> pa.RecordBatch:
-            bucket, doc, key, start, lo, hi, text = zip(*held, strict=True)
+            bucket, doc, k, start, lo, hi, text = zip(*held, strict=True)
             marks = bucket_marks(bucket, text, lo, hi)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([doc[c] for c, _, _ in marks], pa.int64()), pa.array([key[c] for c, _, _ in marks], pa.int64()), pa.array([start[c] + a for c, a, _ in marks], pa.int64()), pa.array([start[c] + b + LENGTH for c, _, b in marks], pa.int64())],
-                names=["doc_id", "key", "start", "stop"],
-            )
+            columns = [doc[c] for c, _, _ in marks], [k[c] for c, _, _ in marks], [start[c] + a for c, a, _ in marks], [start[c] + b + LENGTH for c, _, b in marks]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "k", "start", "stop"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -305,8 +248,16 @@ def judge_buckets(contexts: DataFrame) -> DataFrame:
         if held:
             yield emit()
 
-    dealt = contexts.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "doc_id long, key long, start long, stop long")
+    return contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, MARKS)
+
+
+def count_windows(contexts: DataFrame) -> DataFrame:
+    """The same, window by window, from hashes of 64 and 32 bits of the windows of a bucket and offset."""
+    window = F.expr(f"substring(bytes, i + 1, {LENGTH})")
+    each = contexts.select("*", F.explode(F.sequence(F.lit(0), F.col("hi") - F.col("lo"))).alias("i"))
+    each = each.select("bucket", "doc_id", "k", (F.col("start") + F.col("i")).alias("start"), (F.col("hi") - F.col("i")).alias("o"), F.xxhash64(window).alias("x"), F.crc32(window).alias("y"))
+    again = each.groupBy("bucket", "o", "x", "y").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return each.join(again, ["bucket", "o", "x", "y"]).select("doc_id", "k", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 def split_bucket(text: bytes, w) -> Iterator[tuple[int, int, int]]:
@@ -319,55 +270,65 @@ def split_bucket(text: bytes, w) -> Iterator[tuple[int, int, int]]:
         yield int.from_bytes(named, "little", signed=True), max(w["lo"], r * RANGE), min(w["hi"], r * RANGE + RANGE - 1)
 
 
-def repeated_runs(docs: DataFrame, scratch: Scratch, shards: int) -> tuple[DataFrame, DataFrame]:
-    """``docs`` dealt by doc_id, and the repeated runs doc_id, key, start, stop."""
-    found = scratch.table(meet(anchor_records(docs, shards), shards), "anchors")
-    dealt = docs.repartition(shards, "doc_id")
-    wanted = found.filter("bucket IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("key", "bucket", "at", "start", "stop", "lo", "hi", "kinds")).alias("wanted"))
-    held = dealt.join(wanted.repartition(shards, "doc_id").hint("shuffle_hash"), dealt["doc_id"].eqNullSafe(wanted["doc_id"])).select(dealt["doc_id"], "bytes", "wanted")
+def _beside(docs: DataFrame, lists: DataFrame, name: str, how: str) -> DataFrame:
+    """``docs`` with the list ``name`` of each row; Spark may split large parts of either side."""
+    lists = lists.withColumnRenamed("doc_id", "own_id").withColumnRenamed("k", "own_k").hint("shuffle_hash")
+    return docs.join(lists, docs["doc_id"].eqNullSafe(lists["own_id"]) & (docs["k"] == lists["own_k"]), how).select("doc_id", "k", "bytes", name)
+
 
+def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The repeated runs doc_id, k, start, stop of ``docs`` (doc_id, k, bytes), as lists ``marks`` of each doc_id and k."""
+    records = scratch.table(anchor_records(docs), "anchors")
+    again, judged = meet(records, scratch)
+    again = scratch.table(again, "again")
+    wanted = judged.groupBy("doc_id", "k").agg(F.collect_list(F.struct("bucket", "at", "lo", "hi", "kinds")).alias("wanted"))
+    held = _beside(docs, wanted, "wanted", "inner")
+
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for doc_id, text, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = text_key(text)
+            out: list[list] = [[] for _ in range(8)]
+            for doc_id, k, text, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for w in want:
-                    if w["key"] == key:
-                        for bucket, lo, hi in split_bucket(text, w) if w["kinds"] > SPLIT else [(w["bucket"], w["lo"], w["hi"])]:
-                            start, stop = w["at"] - hi, w["at"] - lo + LENGTH
-                            for column, x in zip(out, (bucket, doc_id, key, start, lo, hi, text[start:stop]), strict=True):
-                                column.append(x)
-            kinds = (*(pa.int64(),) * 4, pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "doc_id", "key", "start", "lo", "hi", "bytes"])
-
-    contexts = held.mapInArrow(cut, "bucket long, doc_id long, key long, start long, lo int, hi int, bytes binary")
-    runs = found.filter("bucket IS NULL").select("doc_id", "key", "start", "stop").union(judge_buckets(contexts))
-    return dealt, runs
+                    split = w["kinds"] > SPLIT
+                    for bucket, lo, hi in split_bucket(text, w) if split else [(w["bucket"], w["lo"], w["hi"])]:
+                        start, stop = w["at"] - hi, w["at"] - lo + LENGTH
+                        for column, x in zip(out, (bucket, doc_id, k, start, lo, hi, text[start:stop], split), strict=True):
+                            column.append(x)
+            kinds = (*(pa.int64(),) * 4, pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["bucket", "doc_id", "k", "start", "lo", "hi", "bytes", "split"])
+
+    windows = scratch.table(held.mapInArrow(cut, "bucket long, doc_id long, k long, start long, lo int, hi int, bytes binary, split boolean"), "windows")
+    scratch.drop("anchors", "contexts")
+    large = scratch.table(windows.filter("split").groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("bucket"), "large")
+    windows = windows.drop("split")
+    runs = again.union(judge_buckets(windows.join(large, "bucket", "left_anti").select("bucket", "doc_id", "k", "start", "lo", "hi", "bytes")))
+    if large.take(1):
+        runs = runs.union(count_windows(windows.join(large, "bucket")))
+    marks = scratch.table(runs.groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "stop")).alias("marks")), "marks")
+    scratch.drop("again", "windows", "large")
+    return marks
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes: start, stop) and kept (the remaining bytes) of every document."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    scratch = scratch or Scratch(docs.sparkSession)
     given = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"))
-    dealt, runs = repeated_runs(given, scratch, shards)
-    marks = runs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "stop")).alias("marks"))
-    both = dealt.join(marks.repartition(shards, "doc_id").hint("shuffle_hash"), dealt["doc_id"].eqNullSafe(marks["doc_id"]), "left").select(dealt["doc_id"], "bytes", "marks")
+    given = given.withColumn("k", F.xxhash64("bytes")).select("doc_id", "k", "bytes")
+    both = _beside(given, repeated_runs(given, scratch), "marks", "left").select("doc_id", "bytes", "marks")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             spans, kept, size = [], [], []
             for text, marked in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 merged: list[list[int]] = []
-                if marked:
-                    key = text_key(text)
-                    for a, b in sorted((m["start"], m["stop"]) for m in marked if m["key"] == key):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
+                for a, b in sorted((m["start"], m["stop"]) for m in marked or ()):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
                 edges = [0, *(x for s in merged for x in s), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 spans.append([{"start": a, "stop": b} for a, b in merged])

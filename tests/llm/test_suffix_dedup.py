@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
@@ -38,9 +39,10 @@ def test_cover():
     assert {(a - b) % S.PERIOD for a in S.COVER for b in S.COVER} == set(range(S.PERIOD))
 
 
-@pytest.mark.parametrize("split", [S.SPLIT, 1])
-def test_planted(spark, monkeypatch, split):
+@pytest.mark.parametrize(("split", "large"), [(S.SPLIT, S.LARGE), (1, S.LARGE), (1, 1)])
+def test_planted(spark, monkeypatch, split, large):
     monkeypatch.setattr(S, "SPLIT", split)
+    monkeypatch.setattr(S, "LARGE", large)
     base, passage = prose(1, 500), prose(2, 120)[:420]
     texts = [base, base, base[:900] + "X" + base[901:], base[:399], "start " + base[50:449], "start " + base[50:450], prose(3, 60) + passage + prose(4, 70), passage + prose(5, 50), prose(6, 40) + passage[:400], "ab" * 500, "z" * 401, "z" * 400, "é" * 201, passage[1:] + "!"]
     texts += [base[k : k + 700] + f" {k}" for k in range(0, 1200, 61)]
@@ -67,7 +69,7 @@ def test_small_blocks_and_segments_change_nothing(spark, monkeypatch):
     try:
         S.SEGMENT = 1500
         parts = list(S._segments([1, 2], buckets[:2]))
-        windows = sorted((i, s + k) for g in parts for i, _, s, t in g for k in range(len(t) - 399))
+        windows = sorted((i, s + k) for g in parts for i, s, t in g for k in range(len(t) - 399))
         assert windows == [(i, k) for i, t in ((1, buckets[0]), (2, buckets[1])) for k in range(len(t) - 399)]
     finally:
         S.SEGMENT = kept
@@ -82,5 +84,21 @@ def test_query(spark):
 
 
 def test_edges(edge_docs, no_docs):
-    compare(edge_docs.filter("doc_id IS NULL OR doc_id <> 9"))
+    compare(edge_docs)
     assert S.remove_repeats(no_docs).count() == 0
+
+
+def test_long_texts_across_segments(spark, monkeypatch):
+    monkeypatch.setattr(S, "SEGMENT", 3000)
+    long = prose(31, 4000)
+    compare(spark.createDataFrame([(1, long), (2, prose(32, 50) + long[5000:9000] + prose(33, 900)), (3, "y" * 9000), (4, long[2500:3500])], "doc_id long, text string"))
+
+
+def test_many_rows_without_id(spark):
+    """1,500 different texts of 1.5 KB without doc_id that share one passage take no more than with ids of their own."""
+    passage = prose(51, 100)[:450]
+    texts = [prose(1000 + i, 90)[:500] + passage + prose(5000 + i, 90)[:500] for i in range(1500)]
+    start = time.monotonic()
+    rows = S.remove_repeats(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)).collect()
+    assert time.monotonic() - start < 60
+    assert len(rows) == 1500 and all(sum(s.stop - s.start for s in r.spans) >= 450 for r in rows)
