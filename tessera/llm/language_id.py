@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, utf8
+from .common import bounded_batches, released, table, utf8
 
 DIM = 1024
 UNDETERMINED = "und"
-_CHUNK, _PIECES = 750_000, 2048  # characters and texts taken at once; bound memory, not results
-_CELLS, _GRAMS, _BLOCK = 8_000_000, 16_000, 8192  # of a table of counts; occurrences bound at once
+_CHUNK, _PIECES = 400_000, 2048  # characters and texts taken at once; bound memory, not results
+_CELLS, _BLOCK = 4_000_000, 4096  # of a table of counts; trigrams or occurrences bound at once
 
 
 @cache
@@ -97,9 +97,12 @@ def bundle(group: np.ndarray, gram: np.ndarray, weight: np.ndarray | None, group
         v *= letters[g[:, 2]]
         return v.astype(np.float32)
 
-    if groups * len(grams) <= _CELLS and len(grams) <= _GRAMS:
-        return np.bincount(group * len(grams) + gram, weight, groups * len(grams)).reshape(groups, -1).astype(np.float32) @ bound(grams)
     out = np.zeros((groups, dim), np.float32)
+    if groups * len(grams) <= _CELLS:
+        counts = np.bincount(group * len(grams) + gram, weight, groups * len(grams)).reshape(groups, -1).astype(np.float32)
+        for i in range(0, len(grams), _BLOCK):
+            out += counts[:, i : i + _BLOCK] @ bound(grams[i : i + _BLOCK])
+        return out
     order = np.argsort(group, kind="stable")
     for i in range(0, len(order), _BLOCK):
         part = order[i : i + _BLOCK]
@@ -144,6 +147,7 @@ def train(docs: DataFrame, training: Column, dim: int = DIM) -> dict[str, np.nda
     """Prototype by language, from the rows where ``training`` holds and lang and text are not null."""
     rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -174,6 +178,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
     at = given.columns.index("text")
     schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes if c in keep) + ", lang_pred string, score double"
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors, total = document_vectors(utf8(batch.column(at)), dim)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, table, utf8
+from .common import bounded_batches, released, table, utf8
 
 CAPACITY, END = 1024, 2
 #: Of a group: bytes of text bound what its task sorts (four bytes of text are about one id of four bytes).
@@ -73,6 +73,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, end: int = END, json_pat
     first piece takes the remainder.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = encoder(json_path), array("I", [end]).tobytes()
         for batch in batches:
@@ -155,6 +156,7 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     dealt = dealt.repartitionById(groups, "pack_group").sortWithinPartitions("pack_group", F.desc("length"), *order)
     schema = T.StructType([*given.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, packer = None, SumOfSquares(capacity)
         for batch in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, utf8
+from .common import bounded_batches, released, table, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -269,6 +269,7 @@ def find_pii(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",),
     schema = ", ".join([*(f"`{c}` {t}" for c, t in given.dtypes if c in keep), f"base {ddl}", f"spans {ddl}", "redacted string"])
     rows = lambda found: [{"start": a, "kind": KINDS[k], "end": b} for a, k, b in found]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, spans, texts = [], [], []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, utf8
+from .common import bounded_batches, released, table, utf8
 
 KEEP = 400_000
 
@@ -81,6 +81,7 @@ class Unigram:
 def token_counts(docs: DataFrame, model_path: str | None = None, keep: int = KEEP) -> DataFrame:
     """doc_id, n_pretokens, n_tokens, n_chars of every document."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = Unigram(model_path), {}
         for batch in batches:
