@@ -1,21 +1,26 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersections.
 
 Two documents link when den * |intersection| >= num * |union| of their sets of word n-grams. The result is exact
-(n-grams are compared as 64-bit hashes); pairs are not listed, only each document's class of linked documents.
+(n-grams are compared as 64-bit hashes). ``jaccard_join`` gives each document's class of linked documents;
+``jaccard_links`` lists every link between different sets, and which documents have them.
 
 1. Documents with equal sets are one class (two 64-bit sums over the set and its size), represented by its smallest
    doc_id.
 2. Size bands: group b of signatures serves the pairs whose smaller set has a size in band b, so a set joins its own
    band and those below that can reach it. Within group b linked sets differ in at most H_b n-grams. n-grams are
    dealt by hash into H_b + r parts, so at least r parts of two linked sets are equal. Each part's sum is a
-   signature. Parts that are nearly empty say little: they are left out, and only a set with r or more of them also
-   signs pairs of them (two linked sets that agree in no other part agree in such a pair).
+   signature. Parts that are empty or nearly so say little and are left out. Where all equal parts are such, both sets
+   have r of them, so a set with r or more of them is dealt anew by another hash, up to ``DEALS`` times, and signs those
+   parts too; only a set for which no deal suffices signs pairs of nearly empty parts (two linked sets that agree in no
+   other part of any deal agree in such a pair).
 3. Signatures are shuffled as packed blocks and sorted per shard. The sets that share one meet in the tile of the
-   smallest among them; a tile with more than ``tile`` sets is split into blocks, and every pair of blocks is a tile.
-   So every linked pair meets in some tile, and no tile is large.
+   smallest among them; a tile with more than ``tile`` sets is split into blocks.
 4. In a tile, one set is compared with all sets not linked yet: bitmap x AND NOT y has at most |x - y| bits, which
    bounds the overlap from above; only sets within the bound are intersected, as sorted arrays. A set once linked is
    not compared again with those it is linked to, so a group of near copies costs one round and its rows are linear.
+   Blocks are compared first with themselves and about ``HUBS`` sets of the whole tile. Sets that this joins need no
+   comparison among each other; those that are then outside the tile's largest class are compared with all blocks. So a
+   large group of near copies sends each text a bounded number of times. ``jaccard_links`` compares all blocks.
 5. Links become components by large-star/small-star.
 
 Edge cases: a null or empty text has no set and is alone; a text with fewer words than n is one n-gram; a null
@@ -34,10 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, mix64, table, utf8, without_ids
+from .common import Scratch, bounded_batches, mix64, released, table, utf8, without_ids
 from .components import connected_components
 
-TILE = 1024
+TILE, HUBS, DEALS = 1024, 16, 8
+SHARD_BYTES = 32 << 20  # of text, for each shard of signatures
 _U = np.uint64
 _BATCH = 400_000  # bytes hashed at once; bounds memory, not results
 
@@ -138,6 +144,17 @@ def bands(rule: Rule, upto: int) -> tuple[Band, ...]:
     return tuple(found)
 
 
+class _Deals(dict):
+    """31 bits of each n-gram for each deal, made when asked for."""
+
+    def __init__(self, mixed: np.ndarray):
+        self.mixed = mixed
+
+    def __missing__(self, deal: int) -> np.ndarray:
+        self[deal] = (mix64(self.mixed + _U(deal)) if deal else self.mixed) >> _U(33)
+        return self[deal]
+
+
 def signatures(grams: np.ndarray, rule: Rule) -> np.ndarray:
     """All signatures of a set: two linked, unequal sets share at least one."""
     size = len(grams)
@@ -148,20 +165,23 @@ def signatures(grams: np.ndarray, rule: Rule) -> np.ndarray:
     every = bands(rule, top)
     own = next(b for b in every if b.low <= size <= b.high)
     mixed = mix64(grams)
-    place = mixed >> _U(33)
+    place = _Deals(mixed)
     for band in reversed(every[: own.number + 1]):
         if size * rule.num > band.high * rule.den:
             break
         if band.differ == 0:
             continue
         parts = band.differ + band.spare
-        part = ((place * _U(parts)) >> _U(31)).astype(np.int64)
-        sums, count = np.zeros(parts, _U), np.bincount(part, minlength=parts)
-        np.add.at(sums, part, mixed)
-        sums = mix64(sums + count.astype(_U) + mix64(np.arange(parts, dtype=_U) + _U(band.number << 32)))
-        out.append(sums[count > band.light])
-        light = sums[count <= band.light]
-        if len(light) >= band.spare:
+        for deal in range(DEALS):
+            part = ((place[deal] * _U(parts)) >> _U(31)).astype(np.int64)
+            sums, count = np.zeros(parts, _U), np.bincount(part, minlength=parts)
+            np.add.at(sums, part, mixed)
+            sums = mix64(sums + count.astype(_U) + mix64(np.arange(parts, dtype=_U) + _U((band.number << 32) + (deal << 48))))
+            out.append(sums[count > band.light])
+            light = sums[count <= band.light]
+            if len(light) < band.spare:
+                break
+        else:
             i, j = np.triu_indices(len(light), 1)
             out.append(mix64(light[i] * _U(0xD6E8FEB86659FD93) + light[j]))
     return np.concatenate(out) if out else grams[:0]
@@ -170,6 +190,7 @@ def signatures(grams: np.ndarray, rule: Rule) -> np.ndarray:
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, h1, h2 of every document."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(len(g), *(set_hash(g) if len(g) else (0, 0))) for g in ngram_sets(utf8(batch.column(1)), rule.n)]
@@ -183,6 +204,7 @@ def candidates(docs: DataFrame, rule: Rule, shards: int) -> DataFrame:
     """h1, center: each class (its first hash) with the tiles it belongs to, named by their smallest class."""
     kind = np.dtype([("s", "<u8"), ("c", "<i8")])
 
+    @released
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # equal sets of a task sign once
 
@@ -215,6 +237,7 @@ def candidates(docs: DataFrame, rule: Rule, shards: int) -> DataFrame:
                     held, n = [], 0
         yield blocks(held)
 
+    @released
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shards follow each other in a partition; each is sorted on its own."""
 
@@ -243,8 +266,8 @@ def candidates(docs: DataFrame, rule: Rule, shards: int) -> DataFrame:
     return signed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(meet, "h1 long, center long").distinct()
 
 
-def link_tile(ids: list[int], sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
-    """Links that connect whatever is connected within a tile."""
+def link_tile(ids: list[int], sets: list[np.ndarray], rule: Rule, every: bool = False) -> list[tuple[int, int]]:
+    """Links that connect whatever is connected within a tile, or ``every`` link."""
     size = np.array([len(s) for s in sets])
     bits = 256
     while bits < 2 * size.max():
@@ -270,16 +293,17 @@ def link_tile(ids: list[int], sets: list[np.ndarray], rule: Rule) -> list[tuple[
                 at[at == len(long)] = 0
                 if rule.linked(int((long[at] == short).sum()), int(size[x]), int(size[y])):
                     found.append(y)
-            if found:
-                links += [(ids[x], ids[y]) for y in found]
+            links += [(ids[x], ids[y]) for y in found]
+            if found and not every:
                 queue += found
                 left = left[~np.isin(left, found)]
     return links
 
 
-def link_tiles(rows: DataFrame, rule: Rule) -> DataFrame:
+def link_tiles(rows: DataFrame, rule: Rule, every: bool = False) -> DataFrame:
     """Links (a, b) among rows (center, tile, h1, doc_id, text), one tile at a time."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets, links = None, [], [], []
 
@@ -292,7 +316,7 @@ def link_tiles(rows: DataFrame, rule: Rule) -> DataFrame:
             for *now, h1, doc_id, grams in zip(c, t, h, d, ngram_sets(utf8(batch.column(4)), rule.n), strict=True):
                 if now != key:
                     if len(ids) > 1:
-                        links += link_tile(ids, sets, rule)
+                        links += link_tile(ids, sets, rule, every)
                     key, ids, sets = now, [], []
                 if len(grams) and set_hash(grams)[0] == h1:  # another text of the same doc_id is not this class
                     ids.append(doc_id)
@@ -301,37 +325,91 @@ def link_tiles(rows: DataFrame, rule: Rule) -> DataFrame:
                 yield emit()
                 links = []
         if len(ids) > 1:
-            links += link_tile(ids, sets, rule)
+            links += link_tile(ids, sets, rule, every)
         yield emit()
 
     dealt = rows.repartition("center", "tile").sortWithinPartitions("center", "tile")
     return dealt.select("center", "tile", "h1", "doc_id", "text").mapInArrow(run, "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, rule: Rule = Rule(), tile: int = TILE, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    scratch = scratch or Scratch(docs.sparkSession)
+@dataclass
+class _Tiles:
+    """``every``: doc_id and class of every document; ``reps``: each class with its smallest doc_id; ``members``: h1,
+    center, k (blocks of the tile), block, m (sets of the tile)."""
+
+    texts: DataFrame
+    every: DataFrame
+    reps: DataFrame
+    members: DataFrame
+
+    def links(self, tiles: DataFrame, rule: Rule, every: bool = False) -> DataFrame:
+        """Links found among ``tiles`` (h1, center, tile)."""
+        wanted = tiles.join(self.reps.select("h1", F.col("rep").alias("doc_id")), "h1")
+        return link_tiles(self.texts.join(wanted, "doc_id"), rule, every).distinct()
+
+
+def _tiles(docs: DataFrame, rule: Rule, tile: int, scratch: Scratch) -> _Tiles:
     texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = scratch.table(classes(texts, rule), "classes")
-    known = every.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    shards = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    reps = every.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     members = scratch.table(candidates(texts, rule, shards), "members")
-    blocks = members.groupBy("center").agg(F.count("*").alias("m")).select("center", F.ceil(F.col("m") / tile).cast("int").alias("k"))
-    block = F.pmod(F.xxhash64("h1"), F.col("k")).cast("int")
-    pairs = F.expr("if(k = 1, array(0), transform(sequence(0, k - 1), j -> least(j, block) * k + greatest(j, block)))")
-    tiles = members.join(blocks, "center").withColumn("block", block).select("h1", "center", F.explode(pairs).alias("tile"))
-    wanted = tiles.join(reps.select("h1", F.col("rep").alias("doc_id")), "h1")
-    links = link_tiles(texts.join(wanted, "doc_id"), rule).distinct()
-    found = connected_components(links, scratch).select(F.col("node").alias("rep"), "component")
-    linked = reps.join(found, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = every.join(linked, ["h1", "h2", "n_shingles"], "left")
+    blocks = members.groupBy("center").agg(F.count("*").alias("m")).withColumn("k", F.ceil(F.col("m") / tile).cast("int"))
+    return _Tiles(texts, every, reps, members.join(blocks, "center").withColumn("block", F.pmod(F.xxhash64("h1"), F.col("k")).cast("int")))
+
+
+def jaccard_join(docs: DataFrame, rule: Rule = Rule(), tile: int = TILE, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    t = _tiles(docs, rule, tile, scratch)
+    hub = F.expr(f"k > 1 AND (h1 = center OR pmod(xxhash64(center, h1), greatest(m div {HUBS}, 1)) = 0)")
+    first = t.members.select("h1", "center", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("block"))).alias("tile"))
+    links = scratch.table(t.links(first, rule), "links")
+    found = scratch.table(connected_components(links, scratch).select(F.col("node").alias("rep"), "component"), "found")
+    rest = _outside(t, found, tile, scratch)
+    if rest is not None:
+        links = links.union(t.links(rest, rule))
+        found = connected_components(links, scratch).select(F.col("node").alias("rep"), "component")
+    linked = t.reps.join(found, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    out = t.every.join(linked, ["h1", "h2", "n_shingles"], "left")
     alone = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     out = scratch.table(out.select("doc_id", "n_shingles", alone.cast("long").alias("component_id")), "result")
     scratch.drop(*[name for name in scratch.names if name != "result"])
     return out
 
 
+def _outside(t: _Tiles, found: DataFrame, tile: int, scratch: Scratch) -> DataFrame | None:
+    """Tiles (h1, center, tile) that bring the sets outside of a large tile's largest class together with all of its
+    blocks; none if there are no such sets."""
+    large = t.members.filter("k > 1").join(t.reps.select("h1", "rep"), "h1").join(found, "rep", "left")
+    large = scratch.table(large.select("h1", "center", "k", "block", F.coalesce("component", "rep").alias("component")), "large")
+    sizes = large.groupBy("center", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("center").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("left"))
+    some = scratch.table(largest.filter("left > 0").withColumn("chunks", F.ceil(F.col("left") / tile).cast("int")), "some")
+    if not some.take(1):
+        return None
+    rows = large.join(some, "center").withColumn("chunk", F.expr("pmod(xxhash64(h1, center), chunks)").cast("int"))
+    beside = F.expr("transform(sequence(0, chunks - 1), c -> block * chunks + c)")
+    of_rest = F.expr("if(component = largest, array(), transform(sequence(0, k - 1), b -> b * chunks + chunk))")
+    return rows.select("h1", "center", F.explode(F.array_distinct(F.concat(beside, of_rest))).alias("tile"))
+
+
+def jaccard_links(docs: DataFrame, rule: Rule = Rule(), tile: int = TILE, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every link (a < b) between different sets, each named by the smallest doc_id that has it; and rep, doc_id, n_links
+    of every document with a doc_id and a set: the set's name and the number of links that it has."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    t = _tiles(docs, rule, tile, scratch)
+    pairs = F.expr("transform(sequence(0, k - 1), j -> least(j, block) * k + greatest(j, block))")
+    links = t.links(t.members.select("h1", "center", F.explode(pairs).alias("tile")), rule, True)
+    links = scratch.table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    members = t.every.filter("doc_id IS NOT NULL").join(t.reps, ["h1", "h2", "n_shingles"]).join(ends, "rep", "left")
+    members = scratch.table(members.select("rep", "doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links")).distinct(), "holders")
+    scratch.drop(*[name for name in scratch.names if name not in ("all-links", "holders")])
+    return links, members
+
+
 def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
     """The documents without those linked to one with a smaller doc_id."""
     return without_ids(docs, jaccard_join(docs, rule).filter("component_id <> doc_id"))

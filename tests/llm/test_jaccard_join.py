@@ -105,3 +105,43 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 499), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in connected_components(edges, Scratch(spark)).collect()}
     assert all(found[i] == 0 for i in range(201)) and found[500] == found[499] == 499
+
+
+def test_random_sets_share_few_signatures():
+    """Unrelated sets meet by chance only, whatever their size: far less than one signature in 10,000 sets."""
+    rng = np.random.default_rng(2)
+    for rule in (J.Rule(), J.Rule(5, 80, 100)):
+        for n in (4, 5, 7, 9, 10, 16, 30, 60, 100, 101, 180, 400):
+            sets = [np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64)) for _ in range(1500)]
+            found = np.concatenate([np.unique(J.signatures(s, rule)) for s in sets])
+            assert len(np.unique(found)) == len(found), (rule, n)
+
+
+@pytest.mark.parametrize("tile", [J.TILE, 5])
+def test_every_link(spark, tile):
+    texts = near_copies(12)
+    rule = J.Rule(5, 80, 100)
+    docs = spark.createDataFrame([*texts.items(), (1000, texts[3]), (None, texts[3]), (1001, "")], "doc_id long, text string").repartition(3)
+    links, holders = J.jaccard_links(docs, rule, tile)
+    sets = {}
+    for i, t in sorted(texts.items()):
+        sets.setdefault(frozenset(ngrams(t, 5)), i)
+    named = list(sets.items())
+    expected = {(min(a, b), max(a, b)) for k, (x, a) in enumerate(named) for y, b in named[:k] if rule.linked(len(x & y), len(x), len(y))}
+    assert {tuple(r) for r in links.collect()} == expected and len(expected) > 40
+    count = defaultdict(int)
+    for a, b in expected:
+        count[a] += 1
+        count[b] += 1
+    assert {(r.rep, r.doc_id, r.n_links) for r in holders.collect()} == {(n, i, count[n]) for i, t in [*texts.items(), (1000, texts[3])] for n in [sets[frozenset(ngrams(t, 5))]]}
+
+
+def test_a_large_group_sends_each_text_a_bounded_number_of_times(spark, monkeypatch):
+    base = prose(7, 100).split()
+    texts = {i: " ".join([*base[: i % 90], f"w{i}", *base[i % 90 :]]) for i in range(2000)}
+    sent, link = [], J.link_tiles
+    monkeypatch.setattr(J, "link_tiles", lambda rows, rule, every=False: sent.append(rows.count()) or link(rows, rule, every))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.component_id for r in J.jaccard_join(docs, J.Rule(), 40).collect()} == {0}
+    tiles = J._tiles(docs, J.Rule(), 40, Scratch(spark)).members
+    assert sum(sent) < 3 * tiles.count() + 60 * tiles.selectExpr("sum(1 / m * k)").first()[0]
