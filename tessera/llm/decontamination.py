@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_up_to, let, table, without_ids
 
-#: Positions that each mask of the query's SQL looks at; the operator has those of ``seeds``.
-MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 6, 8, 9), (0, 1, 2, 5, 7, 9))
 WINDOW, LEAST = 13, 0.8
 BROADCAST_BYTES = 32 << 20
 TOKENS = "filter(split(lower(coalesce(text, '')), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '')"

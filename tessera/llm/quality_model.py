@@ -12,8 +12,11 @@ parts that each belong to one n-gram and are 0 for an n-gram that training has n
 with L1 = log(P1 / uniform), B the log of the weight that a context leaves to the lower order, and D = log(1 + own
 share / (that weight * probability of the lower order)). So a document is scored by joining its n-grams, counted block
 by block, with the table of parts and summing: both sides are dealt into shards of keys, and a task holds the table of
-one shard while the blocks pass by. Words and n-grams are known by 64-bit hashes; neither a vocabulary nor a table
-is gathered in one place.
+one shard while the blocks pass by. Words and n-grams are known by 64-bit hashes (a triple is the pair of its pairs);
+neither a vocabulary nor a table is gathered in one place.
+
+Counting and scoring run in slices (of the words that contexts end with, of documents), one after the other, each ending in a written table, so
+that the shuffle files of only one slice lie on disk at a time. Slices change no result.
 
 A document's score is its perplexity, smoothed by ``PRIOR`` words at its language's mean so that short texts are not
 judged by a few words. The threshold is a quantile of the score, per language, of trusted documents that were not
@@ -31,24 +34,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, mix64, table
+from .common import Scratch, bounded_batches, mix64, released, table
 
 #: Millionths of the trusted documents that are trained on.
 TRAIN_SHARE = 500_000
 QUANTILE, PRIOR = 0.995, 30
 #: Words and documents of a block; keys that a shard's table has about, and the least number of shards.
 BLOCK_WORDS, BLOCK_DOCS, SHARD_KEYS, LEAST_SHARDS = 400_000, 30_000, 1_000_000, 64
+#: Slices of words (the last of contexts) and of documents, where the texts have at least so many bytes a slice.
+TRAIN_SLICES, SCORE_SLICES, SLICE_BYTES = 2, 6, 16 << 20
 _STRIP = b".,;:?()\"'"
-_BEGIN = 1
+_BEGIN, _NONE = 1, np.uint64((1 << 64) - 1)  # the mark before texts; a key of nothing
 _KNOWN: dict[bytes, int] = {}  # a worker's hashes of words
 
 
@@ -88,19 +95,32 @@ def _marked(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return ids, np.repeat(np.arange(len(lists)), n + 2), starts
 
 
+def _bytes(x: np.ndarray) -> bytes:
+    """Compressed, the first bytes of all numbers first."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def _numbers(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 @dataclass
 class Model:
-    """``parts``: level (words of the n-gram), u, v, w, a (as the end of what is predicted), b (as its context)."""
+    """``parts``: a packed row for each shard: keys (rising, as differences), a (as the end of what is predicted), b (as
+    its context; empty where it is 0 for all)."""
 
     parts: DataFrame
-    n_keys: int
+    shards: int
     uniform: float
     texts: DataFrame
+    scratch: Scratch
 
     @property
     def vocabulary(self) -> list[bytes]:
         """The distinct words, gathered; for tests and small samples only."""
 
+        @released
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column(0).to_pylist() for w in words(t or b"")}), pa.binary())], names=["w"])
@@ -124,44 +144,153 @@ def _left(counts: DataFrame, context: list[str], d: list[float]) -> tuple[DataFr
     return counts.withColumn("p", F.col("c") - cut), sums
 
 
+def _slices(docs: DataFrame, most: int) -> int:
+    return int(min(most, 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES))
+
+
+def _packed(keyed: DataFrame, shards: int) -> DataFrame:
+    """Packed rows of the model from key, a, b."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += batch.num_rows
+            if n > 1_000_000:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    def pack(held: list) -> pa.RecordBatch:
+        key, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        key = key.view(np.uint64)
+        order = np.argsort(key)
+        key, a, b = key[order], a[order], b[order]
+        shard = _shard(key, shards)
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+        ends = [*cuts[1:], len(key)]
+        rows = [(int(shard[i]), _bytes(np.diff(key[i:j], prepend=np.uint64(0))), _bytes(a[i:j]), _bytes(b[i:j]) if b[i:j].any() else b"") for i, j in zip(cuts, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *(pa.binary(),) * 3), strict=True)], names=["shard", "keys", "a", "b"])
+
+    return keyed.mapInArrow(run, "shard int, keys binary, a binary, b binary")
+
+
 def train(texts: DataFrame, scratch: Scratch) -> Model:
     """A model of the column ``text``."""
     texts = bounded_batches(texts).select(F.col("text").cast("string").cast("binary").alias("text"))
+    slices = _slices(texts, TRAIN_SLICES)
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @released
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [w for t in batch.column(0).to_pylist() if (w := words(t or b""))]
-            ids, _, starts = _marked(lists)
-            ends = np.ones(len(ids), bool)
-            ends[starts] = ends[starts + 1] = False
-            at = np.flatnonzero(ends)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at - 2]), pa.array(ids[at - 1]), pa.array(ids[at])], names=["u", "v", "w"])
-
-    c3 = scratch.table(texts.mapInArrow(grams, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count("*").alias("c")), "c3")
-    c2 = scratch.table(c3.groupBy("v", "w").agg(F.count("*").alias("c")), "c2")
-    c1 = scratch.table(c2.groupBy("w").agg(F.count("*").alias("c")), "c1")
-    n1 = c1.count()
-    (r3, s3), (r2, s2), (r1, s1) = (_left(c, by, discounts(c)) for c, by in ((c3, ["u", "v"]), (c2, ["v"]), (c1, [])))
+            for i, j in _cut(np.array([len(w) for w in lists], np.int64)):
+                yield pa.RecordBatch.from_arrays([pa.array([_marked(lists[i:j])[0].tobytes()], pa.binary())], names=["ids"])
+
+    ids_table = scratch.table(texts.mapInArrow(marked, "ids binary"), "ids")
+
+    def each(j: int, make, ddl: str) -> DataFrame:
+        """Columns from the ids and the places of words that follow a word of slice ``j``."""
+        names = [x.split(" ")[0] for x in ddl.split(", ")]
+
+        @released
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in batch.column(0).to_pylist():
+                    ids = np.frombuffer(block, np.int64)
+                    at = np.flatnonzero(ids != _BEGIN)
+                    at = at[_shard(_key(ids[at - 1]), slices) == j]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in make(ids, at)], names=names)
+
+        return ids_table.mapInArrow(run, ddl)
+
+    def triples(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        return _key(ids[at - 2], ids[at - 1]), _key(ids[at - 1], ids[at])
+
+    def pairs(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        k, first = np.unique(_key(ids[at - 1], ids[at]), return_index=True)
+        return k, ids[at - 1][first], ids[at][first]
+
+    def together(tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.union, tables)
+
+    c3, c2 = [], []
+    for j in range(slices):
+        c3.append(scratch.table(each(j, triples, "h long, k long").groupBy("h", "k").agg(F.count("*").alias("c")), f"c3-{j}"))
+        known = each(j, pairs, "k long, v long, w long").groupBy("k").agg(F.first("v").alias("v"), F.first("w").alias("w"))
+        c2.append(scratch.table(c3[j].groupBy("k").agg(F.count("*").alias("c")).join(known, "k"), f"c2-{j}"))
+    scratch.drop("ids")
+    c1 = scratch.table(together(c2).groupBy("w").agg(F.count("*").alias("c")), "c1")
+    n1, d1, d2, d3 = c1.count(), discounts(c1), discounts(together(c2)), discounts(together(c3))
+    shards = max(LEAST_SHARDS, (together(c3).count() + together(c2).count() + n1) // SHARD_KEYS)
+    r1, s1 = _left(c1, [], d1)
     top = s1.first()
     uniform = (top.g if n1 else 1.0) / (n1 + 1)  # every word and the unknown one
     p1 = r1.select("w", (F.col("p") / F.lit(top.total or 1) + F.lit(uniform)).alias("p1"))
-    low2 = r2.join(s2, "v").join(p1, "w").select("v", "w", (F.col("p") / F.col("total")).alias("own"), (F.col("g") * F.col("p1")).alias("low"))
-    p2 = scratch.table(low2.select("v", "w", (F.col("own") + F.col("low")).alias("p2"), F.log1p(F.col("own") / F.col("low")).alias("d2")), "p2")
-    d3 = r3.join(s3, ["u", "v"]).join(p2, ["v", "w"]).select("u", "v", "w", F.log1p(F.col("p") / F.col("total") / (F.col("g") * F.col("p2"))).alias("d3"))
-    none, zero = F.lit(0).cast("long"), F.lit(0.0)
 
-    def parts(df: DataFrame, level: int, u, v, w, a, b) -> DataFrame:
-        return df.select(F.lit(level).alias("level"), u.alias("u"), v.alias("v"), w.alias("w"), a.cast("float").alias("a"), b.cast("float").alias("b"))
+    def parts(df: DataFrame, key: Column, a: Column, b: Column) -> DataFrame:
+        return df.select(key.cast("long").alias("key"), a.cast("float").alias("a"), b.cast("float").alias("b"))
+
+    def keyed(df: DataFrame, *names: str) -> DataFrame:
+        """``df`` with key, made of the columns ``names`` as scoring makes it."""
+
+        @released
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key = _key(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns[len(names) :]], names=["key", "a", "b"])
+
+        return df.select(*names, "a", "b").mapInArrow(run, "key long, a float, b float")
+
+    zero = F.lit(0.0).cast("float")
+    found = [scratch.table(_packed(keyed(p1.select("w", F.log(F.col("p1") / F.lit(uniform)).cast("float").alias("a"), zero.alias("b")), "w"), shards), "model-1")]
+    for j in range(slices):
+        (r3, s3), (r2, s2) = _left(c3[j], ["h"], d3), _left(c2[j], ["v"], d2)
+        low = r2.join(s2, "v").join(p1, "w").select("k", (F.col("p") / F.col("total")).alias("own"), (F.col("g") * F.col("p1")).alias("low"))
+        p2 = scratch.table(low.select("k", (F.col("own") + F.col("low")).alias("p2"), F.log1p(F.col("own") / F.col("low")).cast("float").alias("d2")), f"p2-{j}")
+        own = r3.join(s3, "h").join(p2, "k").select("h", "k", F.log1p(F.col("p") / F.col("total") / (F.col("g") * F.col("p2"))).cast("float").alias("a"), zero.alias("b"))
+        contexts = keyed(s2.select("v", zero.alias("a"), F.log("g").cast("float").alias("b")), "v").union(parts(s3, F.col("h"), zero, F.log("g")))
+        found.append(scratch.table(_packed(keyed(own, "h", "k").union(contexts).union(parts(p2, F.col("k"), F.col("d2"), zero)), shards), f"model-2-{j}"))
+        scratch.drop(f"c3-{j}", f"c2-{j}", f"p2-{j}")
+    model = scratch.table(_merged(together(found)), "model")
+    scratch.drop(*(n for n in scratch.names if n.startswith("model-")))
+    return Model(model, shards, uniform, texts, scratch)
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """One packed row for each shard, with the sums of equal keys."""
+
+    def joined(shard: int, held: list) -> pa.RecordBatch:
+        keys, at = np.unique(np.concatenate([k for k, _, _ in held]), return_inverse=True)
+        a, b = (np.bincount(at, weights=np.concatenate([h[i] for h in held]), minlength=len(keys)).astype(np.float32) for i in (1, 2))
+        row = shard, _bytes(np.diff(keys, prepend=np.uint64(0))), _bytes(a), _bytes(b) if b.any() else b""
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), *(pa.binary(),) * 3), strict=True)], names=["shard", "keys", "a", "b"])
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for shard, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and shard != at:
+                    yield joined(at, held)
+                    held = []
+                at = shard
+                held.append(_unpacked(*packed))
+        if held:
+            yield joined(at, held)
+
+    return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, keys binary, a binary, b binary")
 
-    u, v, w = F.col("u"), F.col("v"), F.col("w")
-    every = parts(d3, 3, u, v, w, F.col("d3"), zero)
-    every = every.union(parts(p2, 2, none, v, w, F.col("d2"), zero)).union(parts(s3, 2, none, u, v, zero, F.log("g")))
-    every = every.union(parts(p1, 1, none, none, w, F.log(F.col("p1") / F.lit(uniform)), zero)).union(parts(s2, 1, none, none, v, zero, F.log("g")))
-    return Model(every, c3.count() + c2.count() + n1, uniform, texts)
+
+def _unpacked(keys: bytes, a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys = np.cumsum(_numbers(keys, np.uint64), dtype=np.uint64)
+    return keys, _numbers(a, np.float32), _numbers(b, np.float32) if b else np.zeros(len(keys), np.float32)
 
 
 _ROWS = "shard int, kind int, block long, docs binary, counts binary, keys binary, a binary, b binary, ids array<long>, langs array<string>, n_words array<long>"
-_SUMS = "block long, shard int, sums binary, ids array<long>, langs array<string>, n_words array<long>"
+_SUMS = "block long, shard int, docs binary, sums binary, ids array<long>, langs array<string>, n_words array<long>"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "string": pa.string(), "double": pa.float64()}
 
 
@@ -182,20 +311,20 @@ def _cut(size: np.ndarray) -> list[tuple[int, int]]:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, n_words, nll (negative log probability of all words)."""
-    shards, uniform = max(LEAST_SHARDS, model.n_keys // SHARD_KEYS), float(np.log(model.uniform))
+    """doc_id, lang, n_words, nll (negative log probability of all words); written, slice by slice."""
+    slices, scored = _slices(docs.select(F.col("text").cast("string").alias("text")), SCORE_SLICES), None
+    given = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string").cast("binary"))
+    for j in range(slices):
+        own = given.filter(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(slices)) == j) if slices > 1 else given
+        part = model.scratch.table(_score(own, model), f"scores-{j}")
+        scored = scored.union(part) if scored else part
+    return scored
 
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            level, u, v, w, a, b = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)
-            key = np.where(level == 3, _key(u, v, w), np.where(level == 2, _key(v, w), _key(w)))
-            order = np.argsort(key)
-            key, a, b = key[order], a[order], b[order]
-            shard = _shard(key, shards)
-            cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-            ends = [*cuts[1:], len(key)]
-            yield _batch([{"shard": int(shard[i]), "kind": 0, "keys": key[i:j].tobytes(), "a": a[i:j].tobytes(), "b": b[i:j].tobytes()} for i, j in zip(cuts, ends, strict=True)], _ROWS)
 
+def _score(given: DataFrame, model: Model) -> DataFrame:
+    shards, uniform = model.shards, float(np.log(model.uniform))
+
+    @released
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -218,40 +347,42 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         second[starts] = third[starts] = third[starts + 1] = False
         one = np.flatnonzero(second)  # the second mark and the words
         three = np.flatnonzero(third)
-        key = np.concatenate([_key(ids[one]), _key(ids[one - 1], ids[one]), _key(ids[three - 2], ids[three - 1], ids[three])])
+        pair = _key(ids[:-1], ids[1:])
+        key = np.concatenate([_key(ids[one]), pair[one - 1], _key(pair[three - 2], pair[three - 1])])
         where = np.concatenate([2 * doc[one] + last[one], 2 * doc[one] + last[one], 2 * doc[three]]).astype(np.uint16)
         order = np.argsort(key, kind="stable")
         key, where = key[order], where[order]
+        if not len(key):
+            return
         first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
         counts, key = np.diff(first, append=len(key)).astype(np.uint32), key[first]
         shard = _shard(key, shards)
         cuts = np.flatnonzero(np.diff(shard, prepend=-1))
         for i, j in zip(cuts, [*cuts[1:], len(key)], strict=True):
             a, b = first[i], first[j] if j < len(key) else len(where)
-            yield {"shard": int(shard[i]), "keys": key[i:j].tobytes(), "counts": counts[i:j].tobytes(), "docs": where[a:b].tobytes()}
+            yield {"shard": int(shard[i]), "keys": _bytes(np.diff(key[i:j], prepend=np.uint64(0))), "counts": _bytes(counts[i:j]), "docs": _bytes(where[a:b])}
 
+    @released
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, made = None, [], None
+        at, known = None, np.zeros(0, np.uint64)
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 if r["shard"] != at:
-                    at, parts, made = r["shard"], [], None
+                    at, known, a, b = r["shard"], np.full(1, _NONE), np.zeros(1), np.zeros(1)
                 if r["kind"] == 0:
-                    parts.append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["a"], np.float32), np.frombuffer(r["b"], np.float32)))
+                    known, a, b = (np.append(x, end) for x, end in zip(_unpacked(r["keys"], r["a"], r["b"]), (_NONE, 0, 0), strict=True))
                     continue
                 if r["keys"] is None:
                     out.append(r)
                     continue
-                if made is None:
-                    made, parts = _table(parts), []
-                known, a, b = made
-                keys, where = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["docs"], np.uint16)
+                keys, where = np.cumsum(_numbers(r["keys"], np.uint64), dtype=np.uint64), _numbers(r["docs"], np.uint16)
                 place = np.searchsorted(known, keys)
                 place[known[place] != keys] = len(known) - 1  # nothing
-                place = np.repeat(place, np.frombuffer(r["counts"], np.uint32))
+                place = np.repeat(place, _numbers(r["counts"], np.uint32))
                 sums = np.bincount(where >> 1, weights=a[place] + b[place] * (1 - (where & 1).astype(np.int64)))
-                out.append({"block": r["block"], "shard": at, "sums": sums.tobytes()})
+                some = np.flatnonzero(sums)
+                out.append({"block": r["block"], "shard": at, "docs": some.astype(np.uint16).tobytes(), "sums": sums[some].tobytes()})
             if out:
                 yield _batch(out, _SUMS)
 
@@ -262,23 +393,34 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         logs = n * uniform
         for r in rows:
             if r["sums"] is not None:
-                sums = np.frombuffer(r["sums"], np.float64)
-                logs[: len(sums)] += sums
+                logs[np.frombuffer(r["docs"], np.uint16)] += np.frombuffer(r["sums"], np.float64)
         return pa.table({"doc_id": pa.array(meta["ids"], pa.int64()), "lang": pa.array(meta["langs"], pa.string()), "n_words": n, "nll": np.round(0.0 - logs, 6)})
 
-    given = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string").cast("binary"))
-    rows = model.parts.mapInArrow(tables, _ROWS).union(given.mapInArrow(blocks, _ROWS))
+    none = lambda n: F.lit(None).cast(dict(x.split(" ") for x in _ROWS.split(", "))[n]).alias(n)
+    table = model.parts.select("shard", F.lit(0).alias("kind"), none("block"), none("docs"), none("counts"), "keys", "a", "b", none("ids"), none("langs"), none("n_words"))
+    rows = table.union(given.mapInArrow(blocks, _ROWS))
     summed = rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(look_up, _SUMS)
     return summed.groupBy("block").applyInArrow(total, "doc_id long, lang string, n_words long, nll double")
 
 
-def _table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order with the sums of their parts; the last one stands for no key and has none."""
-    end = np.full(1, np.iinfo(np.uint64).max, np.uint64)
-    key = np.concatenate([*(k for k, _, _ in parts), end])
-    keys, at = np.unique(key, return_inverse=True)
-    a, b = (np.bincount(at, weights=np.concatenate([*(p[i] for p in parts), np.zeros(1)]), minlength=len(keys)) for i in (1, 2))
-    return keys, a, b
+def quantiles(rows: DataFrame, q: float) -> DataFrame:
+    """lang_key and the exact quantile ``threshold`` of perplexity (between two values, in proportion), and a row for
+    all with lang_key null. Values are counted in classes of a ten-thousandth of their logarithm, a bounded number;
+    then only those of the one or two classes that hold the quantile are counted one by one."""
+    rows = rows.select("lang_key", "perplexity", F.floor(F.log("perplexity") * 10_000).alias("class"))
+    both = lambda df: df.union(df.withColumn("lang_key", F.lit(None).cast("string")))
+    counted = rows.groupBy("lang_key", "class").agg(F.count("*").alias("n"))
+    counted = both(counted).groupBy("lang_key", "class").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("lang_key").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("upto", F.sum("n").over(upto)).withColumn("at", q * (F.sum("n").over(Window.partitionBy("lang_key")) - 1))
+    chosen = placed.filter((F.col("upto") > F.floor("at")) & (F.col("upto") - F.col("n") <= F.ceil("at"))).select(F.col("lang_key").alias("key"), F.col("class").alias("of"), (F.col("upto") - F.col("n")).alias("before"), "at")
+    inside = rows.join(F.broadcast(chosen), F.col("class") == F.col("of"))  # two rows for each language
+    inside = inside.filter(F.col("key").isNull() | (F.col("key") == F.col("lang_key"))).groupBy("key", "of", "before", "at", "perplexity").agg(F.count("*").alias("n"))
+    within = Window.partitionBy("key", "of").orderBy("perplexity").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(within))
+    low, high = (F.min(F.when(F.col("upto") > f("at"), F.col("perplexity"))) for f in (F.floor, F.ceil))
+    ends = inside.groupBy("key", "at").agg(low.alias("low"), high.alias("high"))
+    return ends.select(F.col("key").alias("lang_key"), (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("threshold"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_docs: int | None = None, train_chars: int | None = None, quantile: float = QUANTILE) -> DataFrame:
@@ -294,7 +436,7 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int | None = None,
     if train_chars is not None:
         sample = sample.filter(F.length("text") <= train_chars)
     model = train(sample.select("text"), scratch)
-    scored = scratch.table(score(docs, model), "scored")
+    scored = score(docs, model)
     lang = F.coalesce("lang", F.lit("")).alias("lang_key")
     tested = scored.filter("n_words > 0").join(good.filter(part >= share), "doc_id", "left_semi").select(lang, "n_words", "nll")
     mean = tested.rollup("lang_key").agg((F.sum("nll") / F.sum("n_words")).alias("mean"))
@@ -307,12 +449,11 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int | None = None,
         at = F.coalesce("mean", "all_mean", F.col("nll") / F.greatest(F.col("n_words"), F.lit(1)))
         return joined.withColumn("perplexity", F.when(F.col("n_words") > 0, F.round(F.exp((F.col("nll") + PRIOR * at) / (F.col("n_words") + PRIOR)), 4))).drop("mean", "all_mean")
 
-    ends = smoothed(tested).rollup("lang_key").agg(F.percentile("perplexity", quantile).alias("threshold"))
-    ends = scratch.table(ends.select("lang_key", "threshold"), "thresholds")
+    ends = scratch.table(quantiles(smoothed(tested), quantile), "thresholds")
     every = ends.filter("lang_key IS NULL").select(F.col("threshold").alias("all_threshold"))
     out = smoothed(scored.withColumn("lang_key", lang)).join(ends.filter("lang_key IS NOT NULL"), "lang_key", "left").join(F.broadcast(every), F.lit(True), "left")
     out = out.withColumn("threshold", F.coalesce("threshold", "all_threshold", F.lit(float("inf"))))
-    scratch.drop("c3", "c2", "c1", "p2")
+    scratch.drop("model", "c1")
     return out.select("doc_id", "lang", "n_words", "perplexity", "threshold", ((F.col("n_words") > 0) & (F.col("perplexity") <= F.col("threshold"))).alias("kept"))
 
 

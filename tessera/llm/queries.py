@@ -26,4 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_spaced_seed_decontamination": sql.OP1, "op7_line_first_cleaning": sql.OP7}
+    return {
+        "op1_spaced_seed_decontamination": sql.OP1,
+        "op5_trie_token_counts": sql.op5(),
+        "op7_line_first_cleaning": sql.OP7,
+        "op8_ngram_jaccard_join": sql.OP8,
+        "op9_virtual_slot_sharding": sql.OP9,
+        "op10_suffix_array_dedup": sql.OP10,
+    }

@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots.
 
-Records are hashed into a fixed number of virtual slots (thousands, far more than shards). Bytes and rows are
+Records are hashed by doc_id into a fixed number of virtual slots (thousands, far more than shards), so equal texts are
+spread like others: a text that holds a third of all rows could not stay in one shard under the law ``bytes``. Bytes and rows are
 summed per slot (at most ``slots`` rows reach the driver, whatever the input), and a versioned slot-to-shard map
 gives every slot a shard. Rebalancing edits the map: only slots that must move change their shard.
 
@@ -86,14 +87,12 @@ class SlotMap:
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot."""
     crc = F.crc32(F.encode(text_or_empty(), "UTF-8"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), crc.cast("string")))
     return docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         crc.alias("text_crc32"),
-        F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(crc), F.lit(slots)))
-        .otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(slots)))
-        .cast("int")
-        .alias("virtual_slot"),
+        (F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long") % slots).cast("int").alias("virtual_slot"),
     )
 
 

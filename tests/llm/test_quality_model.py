@@ -95,3 +95,22 @@ def test_tables_stay_in_shards(spark, monkeypatch):
         monkeypatch.setattr(Q, name, value)
     again = sorted(map(tuple, Q.score(docs, model).collect()))
     assert [r[:3] for r in again] == [r[:3] for r in found] and np.allclose([r[3] for r in again], [r[3] for r in found], atol=1e-5)
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*TRAIN, "", None, "a fish on the log"])], "doc_id long, text string, lang string")
+    found = sorted(map(tuple, Q.score(docs, Q.train(docs.limit(4), Scratch(spark))).collect()))
+    monkeypatch.setattr(Q, "SLICE_BYTES", 10)
+    again = sorted(map(tuple, Q.score(docs, Q.train(docs.limit(4), Scratch(spark))).collect()))
+    assert [r[:3] for r in again] == [r[:3] for r in found] and np.allclose([r[3] for r in again], [r[3] for r in found], atol=1e-5)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(1)
+    values = {"a": np.round(np.exp(rng.normal(8, 1, 500)), 4), "b": np.full(40, 3.5), "": np.round(rng.uniform(7, 7.0001, 101), 4), "c": np.array([2.0])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "lang_key string, perplexity double")
+    for q in (0.0, 0.5, 0.995, 1.0):
+        got = dict(Q.quantiles(rows, q).collect())
+        expected = {k: np.quantile(v, q) for k, v in values.items()} | {None: np.quantile(np.concatenate(list(values.values())), q)}
+        assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k], rel_tol=1e-12) for k in got)
+    assert Q.quantiles(rows.limit(0), 0.5).count() == 0
