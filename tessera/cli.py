@@ -152,6 +152,18 @@ def compute(o: argparse.Namespace, a, b) -> dict[str, object]:
         return run(*series, m, o.max_matches_per_column, **options) if kind == "ALL_NEIGHBORS" else run(*series, m, **options)
 
     out: dict[str, object] = {}
+
+    def profile(side: str, found) -> None:
+        out[f"output_{side}_file_name"] = text.values(found, value)
+        if kind == "1NN_INDEX":
+            out[f"output_{side}_index_file_name"] = text.values(found, "row_idx")
+
+    if o.keep_rows and kind in ("1NN", "1NN_INDEX"):  # both sides from one pass over the pairs
+        options = common | {"allow_trivial_match": not o.aligned, "row_offset": o.global_row or 0, "col_offset": o.global_col or 0}
+        both = P.abjoin_bidirectional(a, b, m, **options).withColumnsRenamed({"idx": "col_idx", "match_idx": "row_idx"}).persist()
+        for side in ("a", "b"):
+            profile(side, both.filter(both["axis"] == side))
+        return out
     for side, first, second in (("a", a, b), *([("b", b, a)] if o.keep_rows else [])):
         found = one(first, second, side == "b")
         main = f"output_{side}_file_name"
@@ -162,10 +174,7 @@ def compute(o: argparse.Namespace, a, b) -> dict[str, object]:
         elif kind == "SUM_THRESH":
             out[main] = text.values(found, "corr_sum")
         else:
-            found = found.persist()
-            out[main] = text.values(found, value)
-            if kind == "1NN_INDEX":
-                out[f"output_{side}_index_file_name"] = text.values(found, "row_idx")
+            profile(side, found.persist())
     return out
 
 

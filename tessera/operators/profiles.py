@@ -8,7 +8,8 @@ are DataFrames: series_id comes first if the series have one, then
   selfjoin_sum, abjoin_sum     col_idx, corr_sum
   selfjoin_knn, abjoin_knn     col_idx, row_idx, rank, corr | dist
   selfjoin_matrix, abjoin_matrix   bin_row, bin_col, corr | dist  NaN below the threshold
-``pearson`` chooses corr; otherwise distances sqrt(2 m (1 - corr)).
+``pearson`` chooses corr; otherwise distances sqrt(2 m (1 - corr)). Results are lazy, unless ``verbose`` asks for reports
+on standard output or ``progress`` for calls with the tasks done and known: then they are computed at once and kept.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from ..params import JoinParams
 from ..plans import pairs, tiles
 from ..sources.series import Series
 from ..tuning import lookup
+from .progress import evaluated
 
 log = logging.getLogger("tessera")
 _operation = itertools.count(1)
@@ -51,27 +53,37 @@ def _sizes(s: Series, m: int, name: str) -> tuple[int, int]:
 def _run(a: Any, b: Any, p: JoinParams) -> tuple[DataFrame, bool]:
     a = Series.of(None, a, p.precision)
     b = a if p.self_join else Series.of(a.rows.sparkSession, b, p.precision)
-    spark = a.rows.sparkSession
     number, began = next(_operation), time.perf_counter()
+    name = f"tessera op={number} {'self' if p.self_join else 'ab'}/{p.kind}"
+    say = (lambda text: print(f"{name} {text}", flush=True)) if p.verbose else (lambda text: log.debug("%s %s", name, text))
+    say(f"start: m={p.m}")
+    try:
+        out = _planned(a, b, p, say)
+        say(f"planned: {time.perf_counter() - began:.3f} s")
+        if p.verbose or p.progress:
+            out = evaluated(out, p.progress)
+            say(f"completed: {time.perf_counter() - began:.3f} s")
+    except Exception as e:
+        say(f"error: {type(e).__name__} after {time.perf_counter() - began:.3f} s")
+        raise
+    return out, a.single
+
+
+def _planned(a: Series, b: Series, p: JoinParams, say) -> DataFrame:
+    spark = a.rows.sparkSession
     (na, all_a), (nb, all_b) = _sizes(a, p.m, "a"), (0, 0)
     nb, all_b = (na, all_a) if p.self_join else _sizes(b, p.m, "b")
     if p.kind == "matrix" and (p.mheight > nb or p.mwidth > na):
         raise ValueError("mheight and mwidth must not exceed the number of windows")
     cores = spark.sparkContext.defaultParallelism
     plan = p.plan if p.plan != "auto" else ("catalyst" if min(na, nb) * max(all_a, all_b) <= CATALYST_PAIRS else "tiles")
+    say(f"plan={plan} columns={na} rows={nb}")
     if plan == "catalyst":
-        out = pairs.profile(a.rows, b.rows, p)
-    else:
-        tuned = lookup(spark, p.kind, max(na, nb), p.m) if p.max_tile_size is None else None
-        length = tuned or tiles.tile_length(max(na, nb), p.m, cores, p.max_tile_size)
-        count = -(-na // length) * -(-nb // length) * max(1, all_a // na)
-        out = tiles.profile(a.rows, b.rows, p, length, int(min(max(cores * 4, count // 64), max(1, count), 100_000)))
-    if p.verbose:
-        join = "self" if p.self_join else "ab"
-        print(f"tessera op={number} {join}/{p.kind} start: plan={plan} columns={na} rows={nb} m={p.m}", flush=True)
-        print(f"tessera op={number} {join}/{p.kind} planned: {time.perf_counter() - began:.3f} s", flush=True)
-    log.debug("op=%d plan=%s columns=%d rows=%d m=%d", number, plan, na, nb, p.m)
-    return out, a.single
+        return pairs.profile(a.rows, b.rows, p)
+    tuned = lookup(spark, p.kind, max(na, nb), p.m) if p.max_tile_size is None else None
+    length = tuned or tiles.tile_length(max(na, nb), p.m, cores, p.max_tile_size)
+    count = -(-na // length) * -(-nb // length) * max(1, all_a // na)
+    return tiles.profile(a.rows, b.rows, p, length, int(min(max(cores * 4, count // 64), max(1, count), 100_000)))
 
 
 def _value(p: JoinParams, missing: bool = True):

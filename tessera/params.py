@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import operator
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from numbers import Real
 from typing import Any
 
@@ -37,6 +38,81 @@ def exclusion_radius(m: int) -> int:
     return -(-m // 4)
 
 
+def one_of(*allowed: str) -> Callable[[Any, str], str]:
+    def check(value: Any, name: str) -> str:
+        if not isinstance(value, str):
+            raise TypeError(f"{name} must be a string")
+        if value not in allowed:
+            raise ValueError(f"{name} must be one of {', '.join(allowed)}")
+        return value
+
+    return check
+
+
+def correlation(value: Any, name: str) -> float:
+    if not isinstance(value, Real):
+        raise TypeError(f"{name} must be a real number")
+    if not (math.isfinite(value) and -1 <= value <= 1):
+        raise ValueError(f"{name} must be finite and between -1 and 1")
+    return float(value)
+
+
+def no_devices(value: Any, name: str) -> None:
+    try:
+        devices = [integer(x, "a GPU's number") for x in value]
+    except TypeError:
+        raise TypeError(f"{name} must be a sequence of integers") from None
+    if devices:
+        raise ValueError("no GPU is available to Spark here")
+
+
+def call(value: Any, name: str) -> Callable | None:
+    if value is not None and not callable(value):
+        raise TypeError(f"{name} must be callable")
+    return value
+
+
+@dataclass(frozen=True)
+class Option:
+    """What an option may be: its reader, its least value, and the joins that take it."""
+
+    name: str
+    default: Any
+    read: Callable[[Any, str], Any]
+    least: int | None = None
+    kinds: tuple[str, ...] = KINDS
+    two_series: bool = False
+    or_none: bool = False
+
+    def check(self, value: Any) -> Any:
+        if self.or_none and value is None:
+            return None
+        value = self.read(value, self.name)
+        if self.least is not None and value < self.least:
+            raise ValueError(f"{self.name} must be at least {self.least}")
+        return value
+
+
+WINDOW, COUNT = Option("m", None, integer, 3), Option("k", None, integer, 1)
+OPTIONS = (
+    Option("pearson", False, flag),
+    Option("precision", "double", one_of(*PRECISIONS)),
+    Option("plan", "auto", one_of("auto", "catalyst", "tiles")),
+    Option("verbose", False, flag),
+    Option("progress", None, call),
+    Option("gpus", None, no_devices),
+    Option("threads", 0, integer, 0),
+    Option("max_tile_size", None, integer, LEAST_TILE),
+    Option("exclusion_zone", None, integer, 0, or_none=True),
+    Option("threshold", 0.0, correlation, kinds=("sum", "knn", "matrix")),
+    Option("mheight", 50, integer, 1, ("matrix",)),
+    Option("mwidth", 50, integer, 1, ("matrix",)),
+    Option("allow_trivial_match", True, flag, two_series=True),
+    Option("col_offset", 0, integer, two_series=True),
+    Option("row_offset", 0, integer, two_series=True),
+)
+
+
 @dataclass(frozen=True)
 class JoinParams:
     kind: str
@@ -56,66 +132,29 @@ class JoinParams:
     verbose: bool = False
     plan: str = "auto"
     both_axes: bool = False
+    progress: Callable[[int, int], None] | None = field(default=None, compare=False)
 
     @staticmethod
     def of(kind: str, m: Any, self_join: bool, options: dict[str, Any], k: Any = None) -> JoinParams:
-        known = {"verbose", "precision", "pearson", "gpus", "threads", "max_tile_size", "exclusion_zone", "plan"}
-        known |= {"threshold"} if kind in ("sum", "knn", "matrix") else set()
-        known |= {"mheight", "mwidth"} if kind == "matrix" else set()
         if self_join and "allow_trivial_match" in options:
             raise ValueError("allow_trivial_match is for joins of two series; a self join never matches trivially")
-        known |= set() if self_join else {"allow_trivial_match", "col_offset", "row_offset"}
-        if unknown := sorted(set(options) - known):
-            raise ValueError(f"unknown argument: {unknown[0]}")
-        m = integer(m, "m")
-        if m < 3:
-            raise ValueError("m must be at least 3")
-        precision = options.get("precision", "double")
-        if not isinstance(precision, str):
-            raise TypeError("precision must be a string")
-        if precision not in PRECISIONS:
-            raise ValueError(f"precision must be one of {', '.join(PRECISIONS)}")
-        threshold = options.get("threshold", 0.0)
-        if not isinstance(threshold, Real):
-            raise TypeError("threshold must be a real number")
-        if not (math.isfinite(threshold) and -1 <= threshold <= 1):
-            raise ValueError("threshold must be finite and between -1 and 1")
-        if integer(options.get("threads", 0), "threads") < 0:
-            raise ValueError("threads must not be negative")
-        if "gpus" in options:
-            try:
-                devices = [integer(x, "a GPU's number") for x in options["gpus"]]
-            except TypeError:
-                raise TypeError("gpus must be a sequence of integers") from None
-            if devices:
-                raise ValueError("no GPU is available to Spark here")
-        tile = None
-        if "max_tile_size" in options:
-            tile = integer(options["max_tile_size"], "max_tile_size")
-            if tile < LEAST_TILE:
-                raise ValueError(f"max_tile_size must be at least {LEAST_TILE}")
-            if tile < 2 * m:
-                raise ValueError("max_tile_size must be at least twice the window")
+        open_to = {o.name for o in OPTIONS if kind in o.kinds and not (self_join and o.two_series)}
+        for name in sorted(options):
+            if name not in open_to:
+                raise ValueError(f"unknown argument: {name}")
+        given: dict[str, Any] = {"m": WINDOW.check(m)}
         if k is not None:
-            k = integer(k, "k")
-            if k <= 0:
-                raise ValueError("k must be greater than 0")
-        height, width = (integer(options.get(x, 50), x) for x in ("mheight", "mwidth"))
-        if height <= 0 or width <= 0:
-            raise ValueError("mheight and mwidth must be greater than 0")
-        aligned = not self_join and not flag(options.get("allow_trivial_match", True), "allow_trivial_match")
-        exclusion = exclusion_radius(m) if self_join or aligned else 0
-        if "exclusion_zone" in options and options["exclusion_zone"] is not None:
-            exclusion = integer(options["exclusion_zone"], "exclusion_zone")
-            if exclusion < 0:
-                raise ValueError("exclusion_zone must not be negative")
-        plan = options.get("plan", "auto")
-        if plan not in ("auto", "catalyst", "tiles"):
-            raise ValueError("plan must be auto, catalyst or tiles")
-        return JoinParams(
-            kind, m, self_join, flag(options.get("pearson", False), "pearson"), precision, float(threshold), k or 0, height, width, aligned, exclusion,
-            integer(options.get("col_offset", 0), "col_offset"), integer(options.get("row_offset", 0), "row_offset"), tile, flag(options.get("verbose", False), "verbose"), plan,
-        )
+            given["k"] = COUNT.check(k)
+        for o in OPTIONS:
+            given[o.name] = o.check(options[o.name]) if o.name in options else o.default
+        tile, zone = given["max_tile_size"], given.pop("exclusion_zone")
+        if tile is not None and tile < 2 * given["m"]:
+            raise ValueError("max_tile_size must be at least twice the window")
+        aligned = not (given.pop("allow_trivial_match") or self_join)
+        given["exclusion"] = zone if zone is not None else exclusion_radius(given["m"]) if self_join or aligned else 0
+        for accepted in ("gpus", "threads"):
+            del given[accepted]
+        return JoinParams(kind, self_join=self_join, aligned=aligned, **given)
 
     def with_(self, **changes: Any) -> JoinParams:
         return replace(self, **changes)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bins import bin_column
 from ..functions.windows import normalised
 from ..params import JoinParams
 
@@ -49,7 +50,7 @@ def profile(a: DataFrame, b: DataFrame, p: JoinParams) -> DataFrame:
         return found.withColumn("rank", rank.cast("long")).filter((F.col("rank") <= p.k) & (F.col("corr") > p.threshold)).select(*keys, "row_idx", "rank", "corr")
     na, nb = windows(a).select("series_id", F.col("n").alias("na")), windows(b).select("series_id", F.col("n").alias("nb"))
     binned = found.join(na, "series_id").join(nb, "series_id")
-    cells = binned.groupBy("series_id", F.expr(f"(row_idx * {p.mheight}) div nb").alias("bin_row"), F.expr(f"(col_idx * {p.mwidth}) div na").alias("bin_col")).agg(F.max("corr").alias("corr"))
+    cells = binned.groupBy("series_id", bin_column("row_idx", p.mheight, "nb").alias("bin_row"), bin_column("col_idx", p.mwidth, "na").alias("bin_col")).agg(F.max("corr").alias("corr"))
     return grid(na, p).join(cells, ["series_id", "bin_row", "bin_col"], "left").select("series_id", "bin_row", "bin_col", F.expr(f"if(corr >= {p.threshold!r}D, corr, NULL)").alias("corr"))
 
 

@@ -16,25 +16,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.kernel import EXCLUDED, Tile, normalise
+from ..operators.kernel import CHUNK, EXCLUDED, Recurrence, Tile, normalise
 from ..params import JoinParams
 from .pairs import grid
 
 LEAST, MOST = 256, 8192
 WORKING_SET = 256 << 20
-BROADCAST_BYTES = 16 << 20
 
 
 def working_set_bytes(rows: int, cols: int, m: int) -> int:
     """Estimated memory of a dense tile: pairs, windows, and results."""
+    if min(rows, cols, m) <= 0:
+        raise ValueError("rows, cols and m must be greater than 0")
     return 20 * rows * cols + 16 * (rows + cols) * m + 32 * (rows + cols)
 
 
 def tile_length(windows: int, m: int, cores: int, max_tile_size: int | None = None, budget: int = WORKING_SET) -> int:
     """Windows of a block: enough tiles for every core several times, windows within the memory budget."""
-    wanted = -(-windows // max(1, isqrt(8 * cores)))
-    fits = max(LEAST, budget // (32 * m))
-    length = max(LEAST, min(wanted, MOST, fits))
+    length = max(LEAST, min(-(-windows // max(1, isqrt(8 * cores))), MOST))
+    # a task holds the windows of two blocks and a chunk of their pairs
+    while length > LEAST and working_set_bytes(max(1, CHUNK // length), length, m) + 16 * length * m > budget:
+        length = max(LEAST, length // 2)
     if max_tile_size is not None:
         length = min(length, max_tile_size - m + 1)
     return length
@@ -99,7 +101,9 @@ def evaluate(tile_rows: DataFrame, p: JoinParams, tile: int) -> DataFrame:
                 same = p.self_join and c == r
                 zc, oc = normalise(cols[: tile + p.m - 1], p.m)
                 zr, orow = (zc, oc) if same else normalise(rows[: tile + p.m - 1], p.m)
-                t = Tile(zc, oc, zr, orow, c * tile, r * tile, p, na, nb, p.kind == "matrix" and p.self_join)
+                sc = Recurrence.of(cols[: tile + p.m - 1], p.m)
+                sr = sc if same else Recurrence.of(rows[: tile + p.m - 1], p.m)
+                t = Tile(zc, oc, zr, orow, c * tile, r * tile, p, na, nb, p.kind == "matrix" and p.self_join, sc, sr)
                 mirror = p.self_join and not same
                 ci, ri = np.arange(len(oc)) + c * tile, np.arange(len(orow)) + r * tile
                 if p.kind in ("1nn_index", "1nn"):

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.bins import bin_bounds
 from .functions.sql import register
 from .functions.windows import normalised
 from .operators import profiles as P
@@ -85,9 +86,18 @@ def _top(spark: SparkSession, d: str, motif: bool) -> DataFrame:
     return found.orderBy(*order).limit(1).select("col_idx", F.col("r").alias("corr"))
 
 
+def _count(spark: SparkSession, d: str) -> DataFrame:
+    """n, the windows of the hourly series."""
+    return hourly(spark, d).rows.agg((F.max("idx") + 2 - M).alias("n"))
+
+
 def _bins(spark: SparkSession, d: str) -> DataFrame:
-    i = spark.range(697).select(F.col("id").alias("i"), F.expr("(id * 7) div 697").alias("bin"))
-    return i.groupBy("bin").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop"))
+    return bin_bounds(_count(spark, d), 7)
+
+
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    n = _count(spark, d).first().n
+    return tiles.plan_tiles(spark, n, n, 128, True).select("r", "c", "row_start", "rows", "col_start", "cols", "pairs")
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
@@ -130,13 +140,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "selfjoin_multi_series": lambda s, d: P.selfjoin(by_type(s, d), M, **pearson),
         "embedding_selfjoin": lambda s, d: P.selfjoin_1nn(Series.from_arrays(_read(s, d, "embeddings"), "embedding", "vec_id"), 8, **pearson),
         "selfjoin_daily_revenue": lambda s, d: P.selfjoin(daily(s, d), 28, **pearson),
+        "selfjoin_raw": lambda s, d: P.selfjoin(raw(s, d), 128, **pearson),
+        "selfjoin_sum_raw": lambda s, d: P.selfjoin_sum(raw(s, d), 128, threshold=0.3),
     }
     out = {k: q(f) for k, f in found.items()}
     out |= {
         "sql_table_function": _udtf,
         "merge_slices": _merged,
         "window_stats": _stats,
-        "tile_plan": lambda s, d: tiles.plan_tiles(s, 697, 697, 128, True).select("r", "c", "row_start", "rows", "col_start", "cols", "pairs"),
+        "tile_plan": _plan,
         "matrix_bins": _bins,
         "motif_top1": lambda s, d: _top(s, d, True),
         "discord_top1": lambda s, d: _top(s, d, False),
@@ -190,6 +202,16 @@ select g.bin_row, g.bin_col, case when corr >= {threshold} then round(corr, 6) e
 from (select r.range as bin_row, c.range as bin_col from range(4) r, range(5) c) g left join c on g.bin_row = c.bin_row and g.bin_col = c.bin_col"""
 
 
+#: The windows of the hourly series; the pairs of the long one, with windows as arrays of fixed length.
+_N = f"select count(distinct date_trunc('hour', ts)) - {M - 1} as n from events"
+_LONG = """with r as materialized (select row_number() over (order by ts, event_id) - 1 as i, value as v from events),
+w as materialized (select i, list(v) over (order by i rows between current row and 127 following) as w from r),
+c as materialized (select i, list_transform(w, lambda x: x - list_sum(w) / 128) as c from w where len(w) = 128),
+z as materialized (select i, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c)))::double[128] as z from c),
+p as (select a.i as col_idx, b.i as row_idx, array_inner_product(a.z, b.z) as corr from z a join z b on abs(a.i - b.i) >= 32)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     h, ab, al = _pairs(_H, None, M, 6), _pairs(_C, _V, M, 0), _pairs(_C, _V, M, 6)
     both = ab + ", " + "q as (select k, row_idx as col_idx, col_idx as row_idx, corr from p)"
@@ -224,8 +246,10 @@ union all select 'b', w.i, round(max(corr), 6), coalesce(arg_max(row_idx, (round
         "sql_table_function": _index(h),
         "merge_slices": _index(ab),
         "window_stats": f"""with {_windows("a", _H, M)} select w.i as i, round(list_sum(w.w) / {M}, 4) as mean, round(sqrt(list_inner_product(c.c, c.c)), 4) as norm, list_inner_product(c.c, c.c) > 1e-13 as valid from aw w join ac c on w.i = c.i""",
-        "tile_plan": "select r.range as r, c.range as c, r.range * 128 as row_start, least(128, 697 - r.range * 128) as rows, c.range * 128 as col_start, least(128, 697 - c.range * 128) as cols, least(128, 697 - r.range * 128) * least(128, 697 - c.range * 128) as pairs from range(6) r, range(6) c where c.range >= r.range",
-        "matrix_bins": "select (i.range * 7) // 697 as bin, min(i.range) as start, max(i.range) + 1 as stop from range(697) i group by 1",
+        "tile_plan": f"with n as ({_N}), e as (select n, unnest(range((n + 127) // 128)) as i from n) select r.i as r, c.i as c, r.i * 128 as row_start, least(128, r.n - r.i * 128) as rows, c.i * 128 as col_start, least(128, c.n - c.i * 128) as cols, least(128, r.n - r.i * 128) * least(128, c.n - c.i * 128) as pairs from e r, e c where c.i >= r.i",
+        "matrix_bins": f"select (i * 7) // n as bin, min(i) as start, max(i) + 1 as stop from (select n, unnest(range(n)) as i from ({_N})) group by 1",
+        "selfjoin_raw": _LONG + "select col_idx, round(max(corr), 6) as corr, arg_max(row_idx, (round(corr, 10), -row_idx)) as row_idx from p group by col_idx",
+        "selfjoin_sum_raw": _LONG + "select col_idx, round(sum(case when corr > 0.3 then corr else 0 end), 6) as corr_sum from p group by col_idx",
         "motif_top1": f"with x as ({_index(h)}) select col_idx, corr from x where row_idx >= 0 order by corr desc, col_idx limit 1",
         "discord_top1": f"with x as ({_index(h)}) select col_idx, corr from x where row_idx >= 0 order by corr, col_idx limit 1",
     }

@@ -53,4 +53,5 @@ def test_accepted(spark):
 
 def test_verbose(spark, capsys):
     T.selfjoin_sum(A, 4, verbose=True)
-    assert "self/sum start: plan=" in capsys.readouterr().out
+    shown = capsys.readouterr().out
+    assert "self/sum start: m=4" in shown and "self/sum plan=" in shown and "self/sum completed: " in shown
