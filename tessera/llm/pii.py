@@ -1,20 +1,20 @@
 """Personal data by a skip-chain conditional random field over candidate tokens.
 
-Base spans follow fixed patterns (email, ip, card, phone). The field then labels candidate tokens (words that hold a
-digit or an @) of each document as other or one of the kinds, so that mentions the patterns miss are found when the
-rest of the document supports them:
-
-  node pieces    a softmax over features of the token's shape and its neighbours
-  chain edges    between candidate tokens that follow each other directly
-  skip edges     between distant tokens with equal or similar contents: the same digits whatever the separators, or
-                 the same letters and digits; each is linked to the next and to the first such token, so m mentions
+Base spans follow fixed patterns (email, ip, card, phone). The field then labels the mentions of each document as other
+or one of the kinds, so that those the patterns miss are found. A mention is a base span; or, between them, a word that
+holds a digit or an @; numbers with a single space between them are one mention while they have at most 19 digits and
+none begins with a +, so that no part of a number is judged alone.
+
+  node pieces    a softmax over features of the mention's shape, its checksum and the range of its parts
+  chain edges    between mentions that follow each other directly
+  skip edges     between distant mentions with equal or similar contents: the same digits whatever the separators, or
+                 the same letters and digits; each is linked to the next and to the first such mention, so m mentions
                  have fewer than 2 m edges
 
-Pieces are trained apart (piecewise training) on a bounded sample of documents, ``train_docs``, whose labels are
-the base spans: the softmax by gradient descent, edges by smoothed log ratios of label pairs. At inference the tokens
-of base spans are evidence, and loopy sum-product message passing runs per document until it settles. A token whose
-probability of a kind reaches ``threshold`` and that lies in no base span becomes a span of it; direct neighbours of
-one kind join.
+Pieces are trained apart (piecewise training) on a bounded sample of documents (``train_docs`` different texts of at most
+``train_chars`` characters), whose labels are the base spans: the softmax by gradient descent, edges by smoothed log
+ratios of label pairs. At inference base spans are evidence, and loopy sum-product message passing runs per document
+until it settles. Another mention becomes a span of a kind whose probability reaches ``threshold``.
 
 Edge cases: a null or empty text has no spans; a null doc_id is passed through; repeated rows are treated each;
 an empty table gives an empty result, and an empty sample a field that adds nothing; matching takes time in
@@ -92,11 +92,13 @@ def base_spans(text: str) -> list[Span]:
 
 
 @dataclass
-class Tokens:
-    """Candidate tokens of a text: their ends, text, features, and the edges between them."""
+class Mentions:
+    """Mentions of a text in order: their places, labels (of base spans: their kind, from 1; else 0), features, and the
+    edges between them."""
 
     start: list[int]
     end: list[int]
+    label: list[int]
     features: list[list[int]]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
@@ -106,20 +108,59 @@ def _bucket(*x) -> int:
     return int.from_bytes(hashlib.blake2b(repr(x).encode("utf-8", "replace"), digest_size=4).digest(), "little") % FEATURES
 
 
-def tokens(text: str) -> Tokens:
-    out = Tokens([], [], [], [], [])
-    last: dict[tuple, tuple[int, int]] = {}
+_NUMBER = re.compile(r"[0-9()+./-]+").fullmatch
+_DOTTED = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)").fullmatch
+
+
+def places(text: str, base: list[Span]) -> list[Span]:
+    """start, label and end of every mention."""
+    covered: list[list[int]] = []
+    for a, _, b in base:
+        if covered and a < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    out: list[Span] = [(a, kind + 1, b) for a, kind, b in base]
+    k, digits, before = 0, 0, None
     for m in _CANDIDATE(text):
         word = m.group()
         core = word.strip(_EDGES.replace("(", "").replace(")", "")) or word
-        start = m.start() + word.find(core)
-        i, digits = len(out.start), _NOT_DIGIT.sub("", core)
+        a = m.start() + word.find(core)
+        b = a + len(core)
+        while k < len(covered) and covered[k][1] <= a:
+            k += 1
+        if k < len(covered) and covered[k][0] < b:
+            before = None
+            continue
+        n = len(_NOT_DIGIT.sub("", core)) if _NUMBER(core) else 99
+        if before is not None and n + digits <= 19 and core[0] != "+" and text[before[2] : a] == " ":
+            before, digits = (before[0], 0, b), digits + n
+            out[-1] = before
+        else:
+            before, digits = (a, 0, b), n
+            out.append(before)
+    return sorted(out)
+
+
+def mentions(text: str, base: list[Span]) -> Mentions:
+    out = Mentions([], [], [], [], [], [])
+    last: dict[tuple, tuple[int, int]] = {}
+    for a, label, b in places(text, base):
+        core, i = text[a:b], len(out.start)
+        digits = _NOT_DIGIT.sub("", core)
         letters = sum(c.isalpha() for c in core)
         shape = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in core[:64]))
-        out.features.append([0, _bucket("digits", min(len(digits), 20)), _bucket("letters", min(letters, 4)), _bucket("shape", shape), _bucket("at", "@" in core, core.count(".") > 0), _bucket("lead", core[0] if not core[0].isalnum() else ""), _bucket("dots", min(core.count("."), 4)), _bucket("n", min(len(core), 24))])
-        out.start.append(start)
-        out.end.append(start + len(core))
-        if i and not text[out.end[i - 1] : start].strip(" "):
+        parts = _DOTTED(core)
+        fits = "-" if not parts else all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in parts.groups())
+        sums = luhn(digits) if 14 <= len(digits) <= 19 else "-"
+        out.features.append([
+            0, _bucket("digits", min(len(digits), 20)), _bucket("letters", min(letters, 4)), _bucket("shape", shape), _bucket("at", "@" in core, core.count(".") > 0),
+            _bucket("lead", core[0] if not core[0].isalnum() else ""), _bucket("dots", min(core.count("."), 4)), _bucket("n", min(len(core), 24)), _bucket("sum", sums), _bucket("fits", fits), _bucket("end", shape[-5:]),
+        ])
+        out.start.append(a)
+        out.end.append(b)
+        out.label.append(label)
+        if i and out.end[i - 1] <= a and not text[out.end[i - 1] : a].strip(" "):
             out.chain.append((i - 1, i))
         keys = [("same", core.lower())] if len(core) >= 5 else []
         if len(digits) >= 6:
@@ -136,18 +177,6 @@ def tokens(text: str) -> Tokens:
     return out
 
 
-def token_labels(t: Tokens, spans: list[Span]) -> np.ndarray:
-    """The kind (from 1) of the span that covers most of a token, 0 for none."""
-    found, k = np.zeros(len(t.start), int), 0
-    for i, (a, b) in enumerate(zip(t.start, t.end, strict=True)):
-        while k < len(spans) and max(s[2] for s in spans[k : k + 1]) <= a:
-            k += 1
-        over = [(min(b, e) - max(a, s), -kind) for s, kind, e in spans[k : k + 8] if min(b, e) > max(a, s)]
-        if over and 2 * max(over)[0] >= b - a:
-            found[i] = 1 - max(over)[1]
-    return found
-
-
 @dataclass
 class Field:
     node: np.ndarray  # features by labels
@@ -158,8 +187,8 @@ class Field:
     def train(texts: list[str], steps: int = 300, rate: float = 2.0, decay: float = 1e-4) -> Field:
         x, y, chain, skip = [], [], [np.zeros((0, 2), int)], [np.zeros((0, 2), int)]
         for text in texts:
-            t = tokens(text)
-            labels = token_labels(t, base_spans(text))
+            t = mentions(text, base_spans(text))
+            labels = np.array(t.label, int)
             x += t.features
             y += labels.tolist()
             chain.append(labels[np.array(t.chain, int).reshape(-1, 2)])
@@ -188,7 +217,7 @@ class Field:
         n /= n.sum()
         return np.clip(np.log(n / n.sum(1, keepdims=True) / n.sum(0)), -4, 4)
 
-    def marginals(self, t: Tokens, evidence: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    def marginals(self, t: Mentions, evidence: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
         """Label probabilities by loopy belief propagation, damped, until messages settle."""
         k = len(LABELS)
         unary = self.node[np.array(t.features)].sum(1)
@@ -199,9 +228,8 @@ class Field:
         pairs = np.array(t.chain + t.skip, int).reshape(-1, 2)
         if not len(pairs):
             return phi / phi.sum(1, keepdims=True)
-        potential = np.exp(np.concatenate([np.repeat(self.chain[None], len(t.chain), 0), np.repeat(self.skip[None], len(t.skip), 0)]))
         a, b = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
-        potential = np.concatenate([potential, potential.transpose(0, 2, 1)])
+        chain, skip, chained = np.exp(self.chain), np.exp(self.skip), np.arange(len(a)) % len(pairs) < len(t.chain)  # both are symmetric
         back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
         message = np.full((len(a), k), 1 / k)
         for _ in range(rounds):
@@ -209,7 +237,7 @@ class Field:
             np.add.at(log, b, np.log(message))
             into = log[a] - np.log(message[back])
             into = np.exp(into - into.max(1, keepdims=True))
-            new = np.einsum("ej,ejk->ek", into, potential)
+            new = np.where(chained[:, None], into @ chain, into @ skip)
             new = 0.5 * message + 0.5 * new / new.sum(1, keepdims=True)
             moved, message = np.abs(new - message).max(), np.maximum(new, 1e-12)
             if moved < 1e-4:
@@ -224,24 +252,12 @@ class Field:
         base = base_spans(text)
         if "@" not in text and not _DIGIT(text):
             return base, base
-        t = tokens(text)
-        if not t.start:
+        t = mentions(text, base)
+        if not any(x == 0 for x in t.label):
             return base, base
-        labels = token_labels(t, base)
-        p = self.marginals(t, labels)
+        p = self.marginals(t, np.array(t.label))
         best = p.argmax(1)
-        more: list[Span] = []
-        k, follows = 0, set(t.chain)
-        for i in range(len(best)):
-            a, b = t.start[i], t.end[i]
-            while k < len(base) and base[k][2] <= a:
-                k += 1
-            if best[i] and p[i, best[i]] >= threshold and not any(min(b, e) > max(a, s) for s, _, e in base[k : k + 8]):
-                kind = int(best[i]) - 1
-                if more and more[-1][1] == kind and (i - 1, i) in follows and more[-1][2] == t.end[i - 1]:
-                    more[-1] = (more[-1][0], kind, b)
-                else:
-                    more.append((a, kind, b))
+        more = [(t.start[i], int(k) - 1, t.end[i]) for i, k in enumerate(best) if k and not t.label[i] and p[i, k] >= threshold]
         return base, sorted(base + more)
 
 

@@ -53,7 +53,7 @@ QUANTILE, PRIOR = 0.995, 30
 #: Words and documents of a block; keys that a shard's table has about, and the least number of shards.
 BLOCK_WORDS, BLOCK_DOCS, SHARD_KEYS, LEAST_SHARDS = 400_000, 30_000, 1_000_000, 64
 #: Slices of words (the last of contexts) and of documents, where the texts have at least so many bytes a slice.
-TRAIN_SLICES, SCORE_SLICES, SLICE_BYTES = 2, 6, 16 << 20
+TRAIN_SLICES, SCORE_SLICES, SLICE_BYTES = 4, 6, 16 << 20
 _STRIP = b".,;:?()\"'"
 _BEGIN, _NONE = 1, np.uint64((1 << 64) - 1)  # the mark before texts; a key of nothing
 _KNOWN: dict[bytes, int] = {}  # a worker's hashes of words
