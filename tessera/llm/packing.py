@@ -28,7 +28,7 @@ from .common import bounded_batches, released, table, utf8
 
 CAPACITY, END = 1024, 2
 #: Of a group: bytes of text bound what its task sorts (four bytes of text are about one id of four bytes).
-DOCS_PER_GROUP, BYTES_PER_GROUP = 65_536, 256 << 20
+DOCS_PER_GROUP, BYTES_PER_GROUP = 65_536, 64 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
