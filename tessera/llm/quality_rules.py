@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_SQL, let, table, words_sql
+from .common import WS, WS_SQL, let, table, words_sql
 
 MAX_LOSS = 0.5
 BOILERPLATE = "(?i)\\\\b(cookies?|javascript|terms of (use|service)|privacy policy|all rights reserved|click here|sign in|log in|subscribe|newsletter|lorem ipsum|read more|share this)\\\\b"
-NAVIGATION = "[|»›·•]"
+NAVIGATION = "(?s)[|»›·•].*[|»›·•].*[|»›·•]"
 SENTENCE_END = '[.!?…:;。！？][)\\"»”’]*$'
 
 #: Words of the text that lie in a three-word window found twice or more in it. Windows are sorted by hash with
@@ -39,21 +39,20 @@ def measure(docs: DataFrame) -> DataFrame:
     counted = text.select(
         "doc_id",
         "text",
-        F.expr(let(words_sql("text"), "ws", f"struct(cast(size(ws) AS long) AS n_words, {REPEATS} AS n_repeat_words)")).alias("m"),
-        F.expr("cast(length(translate(text, ' \\t\\n\\x0b\\f\\r', '')) AS long)".replace("\\x0b", "\x0b").replace("\\f", "\x0c")).alias("word_chars"),
-        F.expr("cast(length(text) - length(translate(text, '#*$%&|<>', '')) AS long)").alias("n_symbols"),
+        F.expr(let(words_sql("text"), "ws", f"struct(cast(size(ws) AS long) AS n_words, cast(length(array_join(ws, '')) AS long) AS word_chars, {REPEATS} AS n_repeat_words)")).alias("m"),
+        F.expr("cast(regexp_count(text, '[#*$%&|<>]') AS long)").alias("n_symbols"),
         F.expr(let(f"filter(split(text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')", "ls", "cast(size(ls) - size(array_distinct(ls)) AS long)")).alias("n_dup_lines"),
     )
     return counted.select(
-        "doc_id", "text", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", F.expr("m.n_words < 50 OR 100 * m.n_repeat_words > 50 * m.n_words").alias("base_failed")
+        "doc_id", "text", "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", F.expr("m.n_words < 50 OR 100 * m.n_repeat_words > 50 * m.n_words").alias("base_failed")
     )
 
 
 _FAILS = f"""(
-    length(l) - length(translate(l, '|»›·•', '')) >= 3
+    l rlike '{NAVIGATION}'
     OR l rlike '{BOILERPLATE}'
     OR (NOT l rlike '{SENTENCE_END}' AND NOT l rlike '^{WS_SQL}*([^\\\\x20\\\\x09-\\\\x0D]+{WS_SQL}+){{3}}[^\\\\x20]')
-    OR length(regexp_replace(l, '[\\\\p{{L}}\\\\p{{N}}\\\\x20\\\\x09-\\\\x0D]', '')) > 0.4 * length(translate(l, ' \\t\\r', ''))
+    OR length(regexp_replace(l, '[\\\\p{{L}}\\\\p{{N}}\\\\x20\\\\x09-\\\\x0D]+', '')) > 0.4 * length(replace(replace(replace(l, ' ', ''), '\\t', ''), '\\r', ''))
     OR 2 * (length(l) - length(replace(l, '!!', '!'))) > size(split(l, ' '))
 )"""
 
@@ -62,7 +61,7 @@ def clean_lines(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
     """The measures of each document, its text without failing lines (``clean_text``) and ``kept``."""
     lines = "transform(array_distinct(filter(split(text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')), l -> rtrim(l))"
     cleaned = measure(docs).withColumn("clean_text", F.expr(f"concat_ws('\\n', filter({lines}, l -> NOT {_FAILS}))"))
-    left = F.length(F.translate("clean_text", " \t\n\x0b\x0c\r", ""))
+    left = F.length(F.regexp_replace("clean_text", f"{WS}+", ""))
     return cleaned.withColumn("kept", ~F.col("base_failed") & (left >= (1 - max_loss) * F.col("word_chars")))
 
 
