@@ -20,11 +20,14 @@ def _aside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, dict[str
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go; the others get the predicted language.
+    """Documents whose language can't be told (those without a letter) go; the others get the predicted language.
 
-    Prototypes are learned from the given languages, without the held-out quarter.
+    Prototypes are learned from the given languages, without the held-out quarter. Where no language is given nothing
+    can be learned, and all documents stay as they are.
     """
     prototypes = language_id.train(docs, ~language_id.held_out() & F.col("doc_id").isNotNull())
+    if not prototypes:
+        return docs
     own, names = _aside(docs, ("lang_pred", "score"))
     found = language_id.predict(own, prototypes, keep=tuple(own.columns))
     found = found.filter(F.col("lang_pred") != language_id.UNDETERMINED).withColumn("lang", F.col("lang_pred"))
