@@ -31,10 +31,7 @@ class Series:
             return Series(rows.select(*cols, F.col(idx).cast("long").alias("idx")), series is None)
         given = rows.select(*cols, *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)))
         by = [f"o{i}" for i in range(len(order))]
-        if series:
-            numbered = given.withColumn("idx", F.row_number().over(Window.partitionBy("series_id").orderBy(*by)) - 1)
-        else:
-            numbered = _numbered(given, by)
+        numbered = _numbered(given, by, ["series_id"] if series else [])
         return Series(numbered.select("series_id", F.col("idx").cast("long").alias("idx"), "value"), series is None)
 
     @staticmethod
@@ -73,30 +70,30 @@ class Series:
         return data
 
 
-def _numbered(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Numbers rows in the order of ``by``. Long series are cut at quantiles of the first column: each range is
-    numbered by a task of its own, after the counts of those before it (one number per range)."""
+def _numbered(rows: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+    """Numbers the rows of each of ``keys`` in the order of ``by``. Many rows are cut at quantiles of the first column:
+    each range of each series is numbered by a task of its own, after the counts of those before it, so neither one
+    series nor a very long one among others gathers in one task."""
     kind = dict(rows.dtypes)[by[0]]
-    numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp", "timestamp_ntz") or kind.startswith("decimal")
+    numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz") or kind.startswith("decimal")
     if not numeric or (total := rows.count()) <= ONE_TASK_ROWS:
-        return rows.withColumn("idx", F.row_number().over(Window.orderBy(*by)) - 1)
+        return rows.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1)
     ranges = min(4096, 4 * -(-total // ONE_TASK_ROWS))
-    first = F.col(by[0]).cast("timestamp").cast("double") if kind.startswith("timestamp") else F.col(by[0]).cast("double")
+    timed = kind == "date" or kind.startswith("timestamp")
+    first = F.col(by[0]).cast("timestamp").cast("double") if timed else F.col(by[0]).cast("double")
     cuts = rows.select(first.alias("x")).agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 100_000)).first()[0]
     cuts = sorted(set(cuts))
-    spark = rows.sparkSession
-    bounds = spark.createDataFrame([(cuts,)], "cuts array<double>")
+    bounds = rows.sparkSession.createDataFrame([(cuts,)], "cuts array<double>")
     # a binary search among the cuts, as conditions of logarithmic depth
     dealt = rows.withColumn("x", first).join(F.broadcast(bounds)).withColumn("bucket", F.expr(_search("cuts", 0, len(cuts))))
     dealt = dealt.drop("cuts", "x")
-    counts = sorted(dealt.groupBy("bucket").count().collect())
-    starts, at = [], 0
-    for b, n in counts:
-        starts.append((b, at))
-        at += n
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*by))
-    offset = spark.createDataFrame(starts, "bucket int, start long")
-    return dealt.withColumn("r", place).join(F.broadcast(offset), "bucket").withColumn("idx", F.col("start") + F.col("r") - 1).drop("r", "start", "bucket")
+    counts = dealt.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*(F.col(k).alias(f"own_{k}") for k in keys), F.col("bucket").alias("own_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = dealt.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(*by)))
+    same = [placed[k].eqNullSafe(starts[f"own_{k}"]) for k in (*keys, "bucket")]
+    joined = placed.join(starts if keys else F.broadcast(starts), same)  # one series has at most 4,096 ranges
+    return joined.withColumn("idx", F.col("start") + F.col("r") - 1).select(*rows.columns, "idx")
 
 
 def _search(name: str, low: int, high: int) -> str:

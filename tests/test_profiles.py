@@ -167,6 +167,18 @@ def test_long_series_are_numbered_in_ranges(spark, monkeypatch):
     assert one == many and [r.idx for r in many] == list(range(5003))
 
 
+@pytest.mark.parametrize("order", ["t", "d"])
+def test_a_long_series_among_others_is_numbered_by_ranges(spark, monkeypatch, order):
+    from tessera.sources import series as S
+
+    rows = spark.range(4000).selectExpr("if(id % 10 < 7, 'long', if(id % 10 = 9, null, concat('s', id % 50))) AS series_id", "(id * 7919) % 4001 AS t", "CAST(id AS double) AS value")
+    rows = rows.selectExpr("*", "date_add(DATE'2020-01-01', CAST(t AS int)) AS d").repartition(5)
+    read = lambda: sorted(map(str, T.Series.from_rows(rows, order_by=order, series="series_id").rows.select("series_id", "idx", "value").collect()))
+    one = read()
+    monkeypatch.setattr(S, "ONE_TASK_ROWS", 100)
+    assert read() == one and len(one) == 4000
+
+
 def test_merging_slices(spark):
     rows = lambda x: spark.createDataFrame(x, "col_idx long, corr double, row_idx long")
     merged = T.merge_slices(rows([(0, 0.5, 3), (1, float("nan"), -1), (2, 0.1, 9)]), rows([(0, 0.5, 2), (1, 0.2, 4), (3, float("nan"), -1)]))
