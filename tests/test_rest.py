@@ -26,7 +26,29 @@ def test_autotune(spark, tmp_path):
     assert T.reset_autotune(path) and not T.reset_autotune(path)
     open(path, "w").write("{broken")
     assert T.autotune_status(path)["records"] == 0
-    assert len(T.autotune_plan("full").workloads) == 15 and T.strategy_descriptions()[0].tile == 256
+    quick, full = T.autotune_plan(), T.autotune_plan("full")
+    assert len(quick.workloads) == 20 and len(full.workloads) == 60 and T.strategy_descriptions()[0].tile == 256
+    assert {(x.kind, x.self_join, x.precision) for x in quick.workloads} == set(itertools.product(("1nn_index", "1nn", "sum", "knn", "matrix"), (True, False), ("single", "double")))
+
+
+def test_candidates_are_held_against_the_definition(spark, tmp_path):
+    loads = tuple(tuning.AutotuneWorkload(k, 300, 10, one) for k in ("1nn_index", "sum", "knn", "matrix") for one in (True, False))
+    found = T.run_autotune(spark, str(tmp_path / "t.json"), plan=tuning.AutotunePlan("quick", loads, 0, 1))
+    assert set(found) == set(loads) and all(x.equal for m in found.values() for x in m)
+    wrong = lambda s, load, tile: [(*r[:-1], 0.123) for r in tuning.reference(load)]
+    written = []
+    found = T.run_autotune(spark, "x", plan=tuning.AutotunePlan("quick", loads[:1], 0, 1), executor=wrong, record_writer=lambda *x: written.append(x))
+    assert not any(x.equal for m in found.values() for x in m) and not written
+
+
+def test_records_of_an_environment_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(tuning, "MOST_OF_ONE", 3)
+    path = str(tmp_path / "t.json")
+    for i in range(6):
+        tuning.save_record(path, f"cores=1 spark=4 numpy=2 1nn n={i} m=3", {"tile": i})
+        tuning.save_record(path, f"cores=2 spark=4 numpy=2 1nn n={i} m=3", {"tile": i})
+    kept = tuning._read(path)["records"]
+    assert len(kept) == 6 and "cores=1 spark=4 numpy=2 1nn n=5 m=3" in kept and "cores=1 spark=4 numpy=2 1nn n=2 m=3" not in kept
 
 
 def test_stream_matches_like_a_join(spark, tmp_path):
