@@ -25,7 +25,7 @@ Two documents link when den * |intersection| >= num * |union| of their sets of w
 
 Edge cases: a null or empty text has no set and is alone; a text with fewer words than n is one n-gram; a null
 doc_id links with nothing (component null); rows with one doc_id are one document; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored; a doc_id must be a whole number or a string of one.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ is the open sequences by gap, so a group is streamed, not collected, and Spark s
 
 Edge cases: a null or empty text is the end token alone; a null doc_id is packed like any other; repeated rows
 are packed each; an empty table gives an empty result; other columns are ignored by ``tokenize`` and carried
-through by ``pack`` (its own output names replace columns of those names).
+through by ``pack`` (its own output names replace columns of those names); a doc_id must be a whole number or a string
+of one.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ Words are runs without white space, without . , ; : ? ( ) and quotes; case count
 Edge cases: a null or empty text, or one without words, has no perplexity and is not kept; a null lang is a language
 of its own; a language without trusted documents takes the threshold of all; without any trusted document
 everything with a word is kept, with the perplexity of a uniform model; repeated rows are judged each (labels count
-once per doc_id); an empty table gives an empty result; other columns are ignored.
+once per doc_id); an empty table gives an empty result; other columns are ignored; a doc_id
+must be a whole number or a string of one.
 """
 
 from __future__ import annotations

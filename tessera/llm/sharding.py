@@ -6,7 +6,8 @@ summed per slot (at most ``slots`` rows reach the driver, whatever the input), a
 gives every slot a shard. Rebalancing edits the map: only slots that must move change their shard.
 
 Edge cases: a null text has no bytes (size 1, CRC 0); a null doc_id hashes by its text; repeated rows each get
-their own place; an empty table gives an empty result; other columns of the input are ignored.
+their own place, and rows with one doc_id share a slot; an empty table gives an empty result; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations

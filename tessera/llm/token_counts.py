@@ -10,7 +10,7 @@ The vocabulary is a public one (a parameter). It holds merge ranks, not probabil
 log p = -log(r + 2), normalised: Zipf's law. A character that no piece covers costs one token per UTF-8 byte.
 
 Edge cases: a null or empty text has no tokens; a null doc_id is passed through; repeated rows count each; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored; a doc_id must be a whole number or a string of one.
 """
 
 from __future__ import annotations

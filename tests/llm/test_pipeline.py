@@ -78,3 +78,17 @@ def test_edges(spark, edge_docs, no_docs):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, D).count() >= docs.count()
     kept = corpus_pipeline.personal_data(spark, edge_docs, D)
     assert kept.select("spans", "score").distinct().collect()[0] == (1, "s")
+
+
+def test_texts_of_thousands_of_letters_and_no_languages(spark, edge_docs):
+    texts = ["".join(chr(0x4E00 + (i * 7919 + k * k * 31) % 20_000) for k in range(400)) for i in range(40)]
+    rows = [(100 + i, t, "zh" if i % 2 else None, None, len(t), "k", "s", 3, "h", "t", "p", 1, "q", "b") for i, t in enumerate([*texts, texts[0]])]
+    docs = edge_docs.union(spark.createDataFrame(rows, edge_docs.schema))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, D)
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert set(range(100, 140)) <= ids and (140 in ids) == (name == "language_identification"), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, D).select("doc_id").distinct().count()
+    assert packed == docs.select("doc_id").distinct().count()
+    none = edge_docs.selectExpr(*("CAST(NULL AS string) AS lang" if c == "lang" else c for c in edge_docs.columns))
+    assert corpus_pipeline.language_identification(spark, none, D).count() == none.count()
