@@ -36,8 +36,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from hashlib import blake2b
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, mix64, released, table
+from .jaccard_join import word_hashes
 
 #: Millionths of the trusted documents that are trained on.
 TRAIN_SHARE = 500_000
@@ -54,22 +53,40 @@ QUANTILE, PRIOR = 0.995, 30
 #: Words and documents of a block; keys that a shard's table has about, and the least number of shards.
 BLOCK_WORDS, BLOCK_DOCS, SHARD_KEYS, LEAST_SHARDS = 400_000, 30_000, 1_000_000, 64
 #: Slices of words (the last of contexts) and of documents, where the texts have at least so many bytes a slice.
-TRAIN_SLICES, SCORE_SLICES, SLICE_BYTES = 4, 6, 16 << 20
+TRAIN_SLICES, SCORE_SLICES, SLICE_BYTES = 8, 10, 16 << 20
 _STRIP = b".,;:?()\"'"
 _BEGIN, _NONE = 1, np.uint64((1 << 64) - 1)  # the mark before texts; a key of nothing
-_KNOWN: dict[bytes, int] = {}  # a worker's hashes of words
+_PIECE = 400_000  # bytes hashed at once; bounds memory, not results
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(None, _STRIP).split()
 
 
-def _hashes(found: list[bytes]) -> np.ndarray:
-    if len(_KNOWN) > 500_000:
-        _KNOWN.clear()
-    for w in set(found).difference(_KNOWN):
-        _KNOWN[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little", signed=True)
-    return np.fromiter(map(_KNOWN.__getitem__, found), np.int64, len(found))
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts, in order, and the number of words of each."""
+    hashes, numbers, held, of, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [], 0
+
+    def emit() -> None:
+        h, own = word_hashes(held)
+        hashes.append(h.view(np.int64))
+        numbers.append(np.array(of)[own])
+
+    for i, text in enumerate(texts):
+        text, start = text.translate(None, _STRIP), 0
+        while start < len(text):
+            stop = len(text)
+            if stop - start > _PIECE:  # cut at white space
+                stop = next((at + 1 for at in range(start + _PIECE, len(text)) if text[at] in b" \t\n\x0b\x0c\r"), len(text))
+            held.append(text[start:stop])
+            of.append(i)
+            size, start = size + stop - start, stop
+            if size >= _PIECE:
+                emit()
+                held, of, size = [], [], 0
+    if held:
+        emit()
+    return np.concatenate(hashes), np.bincount(np.concatenate(numbers), minlength=len(texts))
 
 
 def _key(*parts: np.ndarray) -> np.ndarray:
@@ -85,15 +102,15 @@ def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _marked(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of texts, each text after two beginning marks; their texts; and where texts begin."""
-    n = np.array([len(w) for w in lists], np.int64)
+def _marked(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of texts of ``n`` words, each text after two beginning marks; their texts; and where texts
+    begin."""
     starts = np.cumsum(n + 2) - n - 2
     ids = np.full(int((n + 2).sum()), _BEGIN, np.int64)
     own = np.ones(len(ids), bool)
     own[starts] = own[starts + 1] = False
-    ids[own] = _hashes(list(chain.from_iterable(lists)))
-    return ids, np.repeat(np.arange(len(lists)), n + 2), starts
+    ids[own] = hashes
+    return ids, np.repeat(np.arange(len(n)), n + 2), starts
 
 
 def _bytes(x: np.ndarray) -> bytes:
@@ -138,9 +155,13 @@ def discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.1), k + 0.9) for k, d in enumerate(raw)]
 
 
+def _cut_off(d: list[float]) -> Column:
+    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+
+
 def _left(counts: DataFrame, context: list[str], d: list[float]) -> tuple[DataFrame, DataFrame]:
     """From counts with c: p, the discounted count; and by ``context`` total and g, the weight left for the lower order."""
-    cut = F.least(F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2]), F.col("c"))
+    cut = _cut_off(d)
     sums = counts.groupBy(*context).agg(F.sum("c").alias("total"), (F.sum(cut) / F.sum("c")).alias("g"))
     return counts.withColumn("p", F.col("c") - cut), sums
 
@@ -186,9 +207,11 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
     @released
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [w for t in batch.column(0).to_pylist() if (w := words(t or b""))]
-            for i, j in _cut(np.array([len(w) for w in lists], np.int64)):
-                yield pa.RecordBatch.from_arrays([pa.array([_marked(lists[i:j])[0].tobytes()], pa.binary())], names=["ids"])
+            hashes, n = hashed([t or b"" for t in batch.column(0).to_pylist()])
+            n = n[n > 0]
+            ends = np.cumsum(n)
+            for i, j in _cut(n):
+                yield pa.RecordBatch.from_arrays([pa.array([_marked(hashes[ends[i] - n[i] : ends[j - 1]], n[i:j])[0].tobytes()], pa.binary())], names=["ids"])
 
     ids_table = scratch.table(texts.mapInArrow(marked, "ids binary"), "ids")
 
@@ -208,7 +231,9 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
         return ids_table.mapInArrow(run, ddl)
 
     def triples(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        return _key(ids[at - 2], ids[at - 1]), _key(ids[at - 1], ids[at])
+        h, k = _key(ids[at - 2], ids[at - 1]), _key(ids[at - 1], ids[at])
+        _, first, n = np.unique(_key(h, k), return_index=True, return_counts=True)
+        return h[first], k[first], n
 
     def pairs(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         k, first = np.unique(_key(ids[at - 1], ids[at]), return_index=True)
@@ -217,9 +242,12 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
     def together(tables: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.union, tables)
 
-    c3, c2 = [], []
+    of_h, c3, c2 = Window.partitionBy("h"), [], []
     for j in range(slices):
-        c3.append(scratch.table(each(j, triples, "h long, k long").groupBy("h", "k").agg(F.count("*").alias("c")), f"c3-{j}"))
+        counted = each(j, triples, "h long, k long, n long").repartition("h").groupBy("h", "k").agg(F.sum("n").alias("c"))
+        whole = {"total": F.sum("c"), "n1": F.count_if(F.col("c") == 1), "n2": F.count_if(F.col("c") == 2), "n": F.count("*"), "least": F.min("k")}
+        whole = counted.select("h", "k", "c", *(x.over(of_h).alias(name) for name, x in whole.items()))
+        c3.append(scratch.table(whole.withColumn("first", F.col("k") == F.col("least")).drop("least"), f"c3-{j}"))
         known = each(j, pairs, "k long, v long, w long").groupBy("k").agg(F.first("v").alias("v"), F.first("w").alias("w"))
         c2.append(scratch.table(c3[j].groupBy("k").agg(F.count("*").alias("c")).join(known, "k"), f"c2-{j}"))
     scratch.drop("ids")
@@ -248,11 +276,13 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
     zero = F.lit(0.0).cast("float")
     found = [scratch.table(_packed(keyed(p1.select("w", F.log(F.col("p1") / F.lit(uniform)).cast("float").alias("a"), zero.alias("b")), "w"), shards), "model-1")]
     for j in range(slices):
-        (r3, s3), (r2, s2) = _left(c3[j], ["h"], d3), _left(c2[j], ["v"], d2)
+        r2, s2 = _left(c2[j], ["v"], d2)
+        r3 = c3[j].withColumn("g", (d3[0] * F.col("n1") + d3[1] * F.col("n2") + d3[2] * (F.col("n") - F.col("n1") - F.col("n2"))) / F.col("total"))
+        r3 = r3.withColumn("p", F.col("c") - _cut_off(d3))
         low = r2.join(s2, "v").join(p1, "w").select("k", (F.col("p") / F.col("total")).alias("own"), (F.col("g") * F.col("p1")).alias("low"))
         p2 = scratch.table(low.select("k", (F.col("own") + F.col("low")).alias("p2"), F.log1p(F.col("own") / F.col("low")).cast("float").alias("d2")), f"p2-{j}")
-        own = r3.join(s3, "h").join(p2, "k").select("h", "k", F.log1p(F.col("p") / F.col("total") / (F.col("g") * F.col("p2"))).cast("float").alias("a"), zero.alias("b"))
-        contexts = keyed(s2.select("v", zero.alias("a"), F.log("g").cast("float").alias("b")), "v").union(parts(s3, F.col("h"), zero, F.log("g")))
+        own = r3.join(p2, "k").select("h", "k", F.log1p(F.col("p") / F.col("total") / (F.col("g") * F.col("p2"))).cast("float").alias("a"), zero.alias("b"))
+        contexts = keyed(s2.select("v", zero.alias("a"), F.log("g").cast("float").alias("b")), "v").union(parts(r3.filter("first"), F.col("h"), zero, F.log("g")))
         found.append(scratch.table(_packed(keyed(own, "h", "k").union(contexts).union(parts(p2, F.col("k"), F.col("d2"), zero)), shards), f"model-2-{j}"))
         scratch.drop(f"c3-{j}", f"c2-{j}", f"p2-{j}")
     model = scratch.table(_merged(together(found)), "model")
@@ -329,19 +359,18 @@ def _score(given: DataFrame, model: Model) -> DataFrame:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            split = [words(t or b"") for t in batch.column(2).to_pylist()]
-            for i, j in _cut(np.array([len(w) for w in split])):
-                lists = split[i:j]
-                meta = {"shard": block % shards, "kind": 1, "block": block, "ids": batch.column(0)[i:j].to_pylist(), "langs": batch.column(1)[i:j].to_pylist(), "n_words": [len(w) for w in lists]}
-                yield _batch([meta, *({"kind": 1, "block": block, **r} for r in asked(lists))], _ROWS)
+            hashes, n = hashed([t or b"" for t in batch.column(2).to_pylist()])
+            ends = np.cumsum(n)
+            for i, j in _cut(n):
+                meta = {"shard": block % shards, "kind": 1, "block": block, "ids": batch.column(0)[i:j].to_pylist(), "langs": batch.column(1)[i:j].to_pylist(), "n_words": n[i:j].tolist()}
+                yield _batch([meta, *({"kind": 1, "block": block, **r} for r in asked(hashes[ends[i] - n[i] : ends[j - 1]], n[i:j]))], _ROWS)
                 block += 1
 
-    def asked(lists: list[list[bytes]]) -> Iterator[dict]:
+    def asked(hashes: np.ndarray, n: np.ndarray) -> Iterator[dict]:
         """By shard: the distinct keys of the texts' n-grams, how often each occurs, and where (2 * text, + 1 for a
         text's last word or pair, which is no context)."""
-        ids, doc, starts = _marked(lists)
-        some = np.array([len(w) > 0 for w in lists], bool)
-        keep = some[doc]
+        ids, doc, starts = _marked(hashes, n)
+        keep = n[doc] > 0
         last = np.zeros(len(ids), np.int64)
         last[np.append(starts[1:], len(ids)) - 1] = 1
         second, third = keep.copy(), keep.copy()
@@ -351,7 +380,7 @@ def _score(given: DataFrame, model: Model) -> DataFrame:
         pair = _key(ids[:-1], ids[1:])
         key = np.concatenate([_key(ids[one]), pair[one - 1], _key(pair[three - 2], pair[three - 1])])
         where = np.concatenate([2 * doc[one] + last[one], 2 * doc[one] + last[one], 2 * doc[three]]).astype(np.uint16)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, where = key[order], where[order]
         if not len(key):
             return
