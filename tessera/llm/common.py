@@ -68,7 +68,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns it as read back."""
         self._made[name] = path = f"{self.root}/{name}-{len(self._made)}"
-        schema, before = df.schema, self.spark.conf.get(_CLEANUP)
+        schema, before = df.schema, self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)

@@ -114,3 +114,15 @@ def test_quantiles_are_exact(spark):
         expected = {k: np.quantile(v, q) for k, v in values.items()} | {None: np.quantile(np.concatenate(list(values.values())), q)}
         assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k], rel_tol=1e-12) for k in got)
     assert Q.quantiles(rows.limit(0), 0.5).count() == 0
+
+
+def test_words_of_long_texts_are_hashed_in_pieces(monkeypatch):
+    texts = [b"", b" \n ", b"one two, two (three)\x0bfour\x0cfive", b"x" * 300, b"a b  c\td " * 50, b"\xc3\xa9t\xc3\xa9 . ; 'don't'", b"one"]
+    hashes, n = Q.hashed(texts)
+    assert n.tolist() == [len(Q.words(t)) for t in texts]
+    every = [w for t in texts for w in Q.words(t)]
+    assert len(set(zip(every, hashes.tolist(), strict=True))) == len(set(every)) == len(set(hashes.tolist()))
+    monkeypatch.setattr(Q, "_PIECE", 37)
+    cut, m = Q.hashed(texts)
+    assert np.array_equal(cut, hashes) and np.array_equal(m, n)
+    assert [x.tolist() for x in Q.hashed([])] == [[], []]
