@@ -12,7 +12,8 @@ parts that each belong to one n-gram and are 0 for an n-gram that training has n
 with L1 = log(P1 / uniform), B the log of the weight that a context leaves to the lower order, and D = log(1 + own
 share / (that weight * probability of the lower order)). So a document is scored by joining its n-grams, counted block
 by block, with the table of parts and summing: both sides are dealt into shards of keys, and a task holds the table of
-one shard while the blocks pass by. Words and n-grams are known by 64-bit hashes (a triple is the pair of its pairs);
+one shard and what the blocks ask of it. The table is written in buckets of shards, so that it lies still while the
+blocks' n-grams come to it. Words and n-grams are known by 64-bit hashes (a triple is the pair of its pairs);
 neither a vocabulary nor a table is gathered in one place.
 
 Counting and scoring run in slices (of the words that contexts end with, of documents), one after the other, each ending in a written table, so
@@ -35,7 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ QUANTILE, PRIOR = 0.995, 30
 #: Words and documents of a block; keys that a shard's table has about, and the least number of shards.
 BLOCK_WORDS, BLOCK_DOCS, SHARD_KEYS, LEAST_SHARDS = 400_000, 30_000, 1_000_000, 64
 #: Slices of words (the last of contexts) and of documents, where the texts have at least so many bytes a slice.
-TRAIN_SLICES, SCORE_SLICES, SLICE_BYTES = 8, 10, 16 << 20
+TRAIN_SLICES, SCORE_SLICES, SLICE_BYTES = 10, 8, 16 << 20
 _STRIP = b".,;:?()\"'"
 _BEGIN, _NONE = 1, np.uint64((1 << 64) - 1)  # the mark before texts; a key of nothing
 _PIECE = 400_000  # bytes hashed at once; bounds memory, not results
@@ -113,20 +114,26 @@ def _marked(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ids, np.repeat(np.arange(len(n)), n + 2), starts
 
 
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Of this process: making one takes longer than most of what it compresses."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _bytes(x: np.ndarray) -> bytes:
     """Compressed, the first bytes of all numbers first."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes())
+    return _zstd()[0].compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes())
 
 
 def _numbers(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(_zstd()[1].decompress(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 @dataclass
 class Model:
-    """``parts``: a packed row for each shard: keys (rising, as differences), a (as the end of what is predicted), b (as
-    its context; empty where it is 0 for all)."""
+    """``parts``: packed rows, in buckets by shard, of which one shard may have several: keys (rising, as differences), a
+    (as the end of what is predicted), b (as its context; empty where it is 0 for all). Those of equal keys add up."""
 
     parts: DataFrame
     shards: int
@@ -274,19 +281,22 @@ def train(texts: DataFrame, scratch: Scratch) -> Model:
         return df.select(*names, "a", "b").mapInArrow(run, "key long, a float, b float")
 
     zero = F.lit(0.0).cast("float")
-    found = [scratch.table(_packed(keyed(p1.select("w", F.log(F.col("p1") / F.lit(uniform)).cast("float").alias("a"), zero.alias("b")), "w"), shards), "model-1")]
-    for j in range(slices):
-        r2, s2 = _left(c2[j], ["v"], d2)
-        r3 = c3[j].withColumn("g", (d3[0] * F.col("n1") + d3[1] * F.col("n2") + d3[2] * (F.col("n") - F.col("n1") - F.col("n2"))) / F.col("total"))
-        r3 = r3.withColumn("p", F.col("c") - _cut_off(d3))
-        low = r2.join(s2, "v").join(p1, "w").select("k", (F.col("p") / F.col("total")).alias("own"), (F.col("g") * F.col("p1")).alias("low"))
-        p2 = scratch.table(low.select("k", (F.col("own") + F.col("low")).alias("p2"), F.log1p(F.col("own") / F.col("low")).cast("float").alias("d2")), f"p2-{j}")
-        own = r3.join(p2, "k").select("h", "k", F.log1p(F.col("p") / F.col("total") / (F.col("g") * F.col("p2"))).cast("float").alias("a"), zero.alias("b"))
-        contexts = keyed(s2.select("v", zero.alias("a"), F.log("g").cast("float").alias("b")), "v").union(parts(r3.filter("first"), F.col("h"), zero, F.log("g")))
-        found.append(scratch.table(_packed(keyed(own, "h", "k").union(contexts).union(parts(p2, F.col("k"), F.col("d2"), zero)), shards), f"model-2-{j}"))
-        scratch.drop(f"c3-{j}", f"c2-{j}", f"p2-{j}")
-    model = scratch.table(_merged(together(found)), "model")
-    scratch.drop(*(n for n in scratch.names if n.startswith("model-")))
+
+    def made() -> Iterator[DataFrame]:
+        """key, a, b of words, then of each slice; a slice's counts go when it is written."""
+        yield keyed(p1.select("w", F.log(F.col("p1") / F.lit(uniform)).cast("float").alias("a"), zero.alias("b")), "w")
+        for j in range(slices):
+            r2, s2 = _left(c2[j], ["v"], d2)
+            r3 = c3[j].withColumn("g", (d3[0] * F.col("n1") + d3[1] * F.col("n2") + d3[2] * (F.col("n") - F.col("n1") - F.col("n2"))) / F.col("total"))
+            low = r2.join(s2, "v").join(p1, "w").select("k", (F.col("p") / F.col("total")).alias("own"), (F.col("g") * F.col("p1")).alias("low"))
+            p2 = scratch.table(low.select("k", (F.col("own") + F.col("low")).alias("p2"), F.log1p(F.col("own") / F.col("low")).cast("float").alias("d2")), f"p2-{j}")
+            odds = r3.select("h", "k", ((F.col("c") - _cut_off(d3)) / F.col("total") / F.col("g")).alias("odds"))  # few columns for the shuffle
+            own = odds.join(p2, "k").select("h", "k", F.log1p(F.col("odds") / F.col("p2")).cast("float").alias("a"), zero.alias("b"))
+            contexts = keyed(s2.select("v", zero.alias("a"), F.log("g").cast("float").alias("b")), "v").union(parts(r3.filter("first"), F.col("h"), zero, F.log("g")))
+            yield keyed(own, "h", "k").union(contexts).union(parts(p2, F.col("k"), F.col("d2"), zero))
+            scratch.drop(f"c3-{j}", f"c2-{j}", f"p2-{j}")
+
+    model = scratch.bucketed((_merged(_packed(df, shards)) for df in made()), "model", "shard", shards)
     return Model(model, shards, uniform, texts, scratch)
 
 
@@ -294,8 +304,8 @@ def _merged(parts: DataFrame) -> DataFrame:
     """One packed row for each shard, with the sums of equal keys."""
 
     def joined(shard: int, held: list) -> pa.RecordBatch:
-        keys, at = np.unique(np.concatenate([k for k, _, _ in held]), return_inverse=True)
-        a, b = (np.bincount(at, weights=np.concatenate([h[i] for h in held]), minlength=len(keys)).astype(np.float32) for i in (1, 2))
+        keys, a, b = _added(held)
+        a, b = a.astype(np.float32), b.astype(np.float32)
         row = shard, _bytes(np.diff(keys, prepend=np.uint64(0))), _bytes(a), _bytes(b) if b.any() else b""
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), *(pa.binary(),) * 3), strict=True)], names=["shard", "keys", "a", "b"])
 
@@ -315,12 +325,24 @@ def _merged(parts: DataFrame) -> DataFrame:
     return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, keys binary, a binary, b binary")
 
 
+def _added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, each once and rising, and the sums of their a and b, from tables of keys that rise and differ."""
+    keys = np.sort(np.concatenate([k for k, _, _ in held]))
+    keys = keys[np.diff(keys, prepend=~keys[:1]) != 0]
+    sums = np.zeros(len(keys)), np.zeros(len(keys))
+    for key, *values in held:
+        at = np.searchsorted(keys, key)
+        for x, v in zip(sums, values, strict=True):
+            x[at] += v
+    return keys, *sums
+
+
 def _unpacked(keys: bytes, a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = np.cumsum(_numbers(keys, np.uint64), dtype=np.uint64)
     return keys, _numbers(a, np.float32), _numbers(b, np.float32) if b else np.zeros(len(keys), np.float32)
 
 
-_ROWS = "shard int, kind int, block long, docs binary, counts binary, keys binary, a binary, b binary, ids array<long>, langs array<string>, n_words array<long>"
+_ROWS = "shard int, block long, docs binary, counts binary, keys binary, ids array<long>, langs array<string>, n_words array<long>"
 _SUMS = "block long, shard int, docs binary, sums binary, ids array<long>, langs array<string>, n_words array<long>"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "string": pa.string(), "double": pa.float64()}
 
@@ -362,8 +384,8 @@ def _score(given: DataFrame, model: Model) -> DataFrame:
             hashes, n = hashed([t or b"" for t in batch.column(2).to_pylist()])
             ends = np.cumsum(n)
             for i, j in _cut(n):
-                meta = {"shard": block % shards, "kind": 1, "block": block, "ids": batch.column(0)[i:j].to_pylist(), "langs": batch.column(1)[i:j].to_pylist(), "n_words": n[i:j].tolist()}
-                yield _batch([meta, *({"kind": 1, "block": block, **r} for r in asked(hashes[ends[i] - n[i] : ends[j - 1]], n[i:j]))], _ROWS)
+                meta = {"shard": block % shards, "block": block, "ids": batch.column(0)[i:j].to_pylist(), "langs": batch.column(1)[i:j].to_pylist(), "n_words": n[i:j].tolist()}
+                yield _batch([meta, *({"block": block, **r} for r in asked(hashes[ends[i] - n[i] : ends[j - 1]], n[i:j]))], _ROWS)
                 block += 1
 
     def asked(hashes: np.ndarray, n: np.ndarray) -> Iterator[dict]:
@@ -392,17 +414,15 @@ def _score(given: DataFrame, model: Model) -> DataFrame:
             a, b = first[i], first[j] if j < len(key) else len(where)
             yield {"shard": int(shard[i]), "keys": _bytes(np.diff(key[i:j], prepend=np.uint64(0))), "counts": _bytes(counts[i:j]), "docs": _bytes(where[a:b])}
 
-    @released
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            out = []
+    def look_up(model: pa.Table, asked: pa.Table) -> pa.Table:
+        """For each block the sums of its texts in one shard."""
+        known, a, b = np.full(1, _NONE), np.zeros(1), np.zeros(1)
+        if len(model) and len(asked):
+            held = [_unpacked(*(model.column(n)[i].as_py() for n in ("keys", "a", "b"))) for i in range(len(model))]
+            known, a, b = (np.append(x, end) for x, end in zip(_added(held), (_NONE, 0, 0), strict=True))
+        out = []
+        for batch in asked.to_batches():
             for r in batch.to_pylist():
-                if r["shard"] != at:
-                    at, known, a, b = r["shard"], np.full(1, _NONE), np.zeros(1), np.zeros(1)
-                if r["kind"] == 0:
-                    known, a, b = (np.append(x, end) for x, end in zip(_unpacked(r["keys"], r["a"], r["b"]), (_NONE, 0, 0), strict=True))
-                    continue
                 if r["keys"] is None:
                     out.append(r)
                     continue
@@ -412,9 +432,8 @@ def _score(given: DataFrame, model: Model) -> DataFrame:
                 place = np.repeat(place, _numbers(r["counts"], np.uint32))
                 sums = np.bincount(where >> 1, weights=a[place] + b[place] * (1 - (where & 1).astype(np.int64)))
                 some = np.flatnonzero(sums)
-                out.append({"block": r["block"], "shard": at, "docs": some.astype(np.uint16).tobytes(), "sums": sums[some].tobytes()})
-            if out:
-                yield _batch(out, _SUMS)
+                out.append({"block": r["block"], "shard": r["shard"], "docs": some.astype(np.uint16).tobytes(), "sums": sums[some].tobytes()})
+        return pa.Table.from_batches([_batch(out, _SUMS)])
 
     def total(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["shard"])
@@ -426,10 +445,8 @@ def _score(given: DataFrame, model: Model) -> DataFrame:
                 logs[np.frombuffer(r["docs"], np.uint16)] += np.frombuffer(r["sums"], np.float64)
         return pa.table({"doc_id": pa.array(meta["ids"], pa.int64()), "lang": pa.array(meta["langs"], pa.string()), "n_words": n, "nll": np.round(0.0 - logs, 6)})
 
-    none = lambda n: F.lit(None).cast(dict(x.split(" ") for x in _ROWS.split(", "))[n]).alias(n)
-    table = model.parts.select("shard", F.lit(0).alias("kind"), none("block"), none("docs"), none("counts"), "keys", "a", "b", none("ids"), none("langs"), none("n_words"))
-    rows = table.union(given.mapInArrow(blocks, _ROWS))
-    summed = rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(look_up, _SUMS)
+    asked_of = given.mapInArrow(blocks, _ROWS).groupBy("shard")
+    summed = model.parts.groupBy("shard").cogroup(asked_of).applyInArrow(look_up, _SUMS)
     return summed.groupBy("block").applyInArrow(total, "doc_id long, lang string, n_words long, nll double")
 
 

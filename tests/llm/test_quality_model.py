@@ -126,3 +126,12 @@ def test_words_of_long_texts_are_hashed_in_pieces(monkeypatch):
     cut, m = Q.hashed(texts)
     assert np.array_equal(cut, hashes) and np.array_equal(m, n)
     assert [x.tolist() for x in Q.hashed([])] == [[], []]
+
+
+def test_model_lies_still_while_documents_are_scored(spark):
+    """The model is written in buckets of shards: scoring shuffles what documents ask, not the model."""
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TRAIN)], "doc_id long, text string, lang string")
+    model = Q.train(docs, Scratch(spark))
+    plan = Q._score(docs, model)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    assert plan.count("hashpartitioning(shard") == 1
