@@ -145,3 +145,11 @@ def test_a_large_group_sends_each_text_a_bounded_number_of_times(spark, monkeypa
     assert {r.component_id for r in J.jaccard_join(docs, J.Rule(), 40).collect()} == {0}
     tiles = J._tiles(docs, J.Rule(), 40, Scratch(spark)).members
     assert sum(sent) < 3 * tiles.count() + 60 * tiles.selectExpr("sum(1 / m * k)").first()[0]
+
+
+def test_only_the_result_is_kept(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "x y z")], "doc_id long, text string")
+    scratch = Scratch(spark)
+    found = J.jaccard_join(docs, scratch=scratch)
+    assert scratch.names == ["result"]
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 1), (2, 2, 1), (3, 1, 3)]
