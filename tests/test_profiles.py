@@ -8,6 +8,7 @@ import tessera as T
 from tessera.operators.kernel import Tile, normalise
 from tessera.params import JoinParams, exclusion_radius
 from tessera.plans import tiles
+from tessera.sources.series import Series
 
 from . import oracle as O
 
@@ -214,3 +215,26 @@ def test_sql_functions(spark, series):
     close(col(spark.sql(f"SELECT * FROM self_profile({call}, 8)"), "corr", "row_idx"), O.best(p))
     close(col(spark.sql(f"SELECT * FROM self_sums({call}, 8, 0.2)"), "corr_sum"), [(x,) for x in O.sums(p, 0.2)])
     assert spark.sql(f"SELECT * FROM self_neighbours({call}, 8, 2, 0.1)").count() == len(O.nearest(p, 2, 0.1))
+
+
+@pytest.mark.parametrize("kind, options", [("1nn_index", {}), ("1nn", {}), ("sum", {"threshold": 0.2})])
+@pytest.mark.parametrize("self_join", [True, False])
+def test_wide_blocks_give_the_same_and_few_partial_rows(spark, kind, options, self_join):
+    m, length, n = 8, 16, 150
+    rng = np.random.default_rng(4)
+    a, b = (Series.from_values(spark, np.round(rng.normal(size=n + m - 1), 1)).rows for _ in range(2))
+    p = JoinParams.of(kind, m, self_join, options)
+    p = p if self_join or kind == "sum" else p.with_(both_axes=True)
+    rows = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    assert rows(tiles.profile(a, b, p, length, 3, 4)) == rows(tiles.profile(a, b, p, length, 3))
+    own, other = tiles.blocks(a, 4 * length, m), None if self_join else tiles.blocks(b, 4 * length, m)
+    partial = tiles.evaluate(tiles.tile_pairs(own, other, 4 * length, 3), p, length, 4)
+    assert partial.count() == 3 * n * (2 if p.both_axes else 1)  # three wide blocks, and not ten
+
+
+def test_wide_blocks_follow_the_cores_and_not_the_length():
+    for cores in (1, 6, 64):
+        for windows in (2_000_000, 6_000_000):
+            wide = 8192 * tiles.group_length(windows, 8192, cores)
+            assert -(-windows // wide) <= max(2 * math.isqrt(16 * cores), windows // tiles.WIDEST + 2)
+    assert tiles.group_length(100_000, 8192, 8) == 1 and tiles.group_length(10, 256, 8) == 1
