@@ -238,3 +238,10 @@ def test_wide_blocks_follow_the_cores_and_not_the_length():
             wide = 8192 * tiles.group_length(windows, 8192, cores)
             assert -(-windows // wide) <= max(2 * math.isqrt(16 * cores), windows // tiles.WIDEST + 2)
     assert tiles.group_length(100_000, 8192, 8) == 1 and tiles.group_length(10, 256, 8) == 1
+
+
+def test_sums_of_wide_blocks_equal_the_definition(spark, series):
+    a, m = series[0], 8
+    A = T.Series.of(spark, a).rows
+    found = tiles.profile(A, A, JoinParams.of("sum", m, True, {"threshold": 0.2}), 7, 3, 3)
+    close(col(found, "corr_sum"), [(x,) for x in O.sums(O.pairs(a, a, m, 2), 0.2)])
